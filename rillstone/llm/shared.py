@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own()
+
+
+@lru_cache(1)
+def _own() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
