@@ -16,13 +16,18 @@ at most `cache` chunks of text.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rillstone.sources.packaging import ship
+
 
 END_ID = 2
 TIERS = (512, 1024, 2048, 4096)
@@ -35,34 +40,50 @@ SCHEMA = (
 class Encoder:
     """Token ids by a vocabulary file, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks between ASCII white space, one after the other; chunks seen before come from a
-    dictionary, which starts anew at `cache` entries.
+    The tokenizer composes, lower-cases, drops white space and never joins across it, nor across
+    the border of letters and marks.  So a text's ids are those of its chunks, one after the
+    other: text between ASCII white space, marks after a letter at a chunk's end apart.  Texts
+    of Latin characters are lower-cased first, which changes no id and makes chunks repeat more.
+    Chunks seen before come from a dictionary, which starts anew at `cache` entries; a worker
+    keeps it for its later tasks.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), cache
+        self.known = _Known(self.tokenizer)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for lo in range(0, len(texts), 64):
-            # split() also cuts at separators that the tokenizer may not take for white space
-            parts = [t.translate(_PLAIN).split(" ") if any(c in t for c in _ODD) else t.split() for t in texts[lo : lo + 64]]
-            new = list({w for p in parts for w in p if w not in self.known})
-            if len(self.known) + len(new) > self.most:
+        for t in texts:
+            if not _BEYOND.search(t):
+                chunks = _TAIL.sub(r" \g<0>", t.lower()).split()
+            else:  # split() also cuts at separators that the tokenizer may not take for white space
+                chunks = t.translate(_PLAIN).split(" ")
+            if len(self.known) > self.most:
                 self.known.clear()
-                new = list({w for p in parts for w in p})
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-            for p in parts:
-                yield b"".join(map(self.known.__getitem__, p))
+            yield b"".join(map(self.known.__getitem__, chunks))
+
+
+class _Known(dict):
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) < 100:
+            self[chunk] = ids
+        return ids
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-#: Characters at which str.split cuts besides ASCII space, tab, line feed and carriage return.
-_ODD = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Beyond these, and at the separators among them, the shortcuts of Encoder don't hold: dotted capital I too.
+_BEYOND = re.compile("[^\x00-\x0a\x0d-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
+_TAIL = re.compile(r"[.,!?;:#$%&*|](?<=[a-zà-öø-ÿ].)[.,!?;:#$%&*|]*(?=[ \n]|$)")
 _PLAIN = str.maketrans("\t\n\r", "   ")
 
 
@@ -120,6 +141,7 @@ def packed(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step
     likewise.  Sequences of fewer than `sequence_tokens` = a tier's size are to be padded to the
     largest tier.
     """
+    ship(docs.sparkSession)
     tiers = tuple(sorted(tiers))
     largest = tiers[-1]
     if any(t & (t - 1) for t in tiers) or step_tokens % largest:
@@ -128,7 +150,7 @@ def packed(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = Encoder(tokenizer), Packer(tiers)
+        packer, encode = Packer(tiers), encoder(tokenizer).encode
         part = TaskContext.get().partitionId() << 32
         store: dict[int, tuple[int | None, bytes]] = {}
         serial = sequence = filled = 0
@@ -153,7 +175,7 @@ def packed(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step
             for lo in range(0, len(doc_ids), 1000):
                 ready = []
                 some = [t or "" for t in batch.column(1)[lo : lo + 1000].to_pylist()]
-                for doc, ids in zip(doc_ids[lo : lo + 1000], encoder.encode(some), strict=True):
+                for doc, ids in zip(doc_ids[lo : lo + 1000], encode(some), strict=True):
                     ids += _END
                     store[serial] = (doc, ids)
                     n = len(ids) // 4
