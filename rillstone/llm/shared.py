@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.sources.packaging import ship
+
 #: Stands for a null doc_id where an id is a key.
 NULL_ID = -(2**63)
 
@@ -32,12 +34,14 @@ def _own() -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once in the shared folder and read from there: it cuts lineage and outlives executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/rillstone-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
