@@ -1,0 +1 @@
+"""Event and content analytics as Spark DataFrame operators."""
