@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.sources.packaging import ship
+from rillstone.sources.scratch import fresh_path
 
 #: Stands for a null doc_id where an id is a key.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset, a folder of this machine, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own()
-
-
-@lru_cache(1)
-def _own() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once in the shared folder and read from there: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/rillstone-{uuid.uuid4().hex}/{name}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,15 +4,17 @@ A suffix is kept at each minimiser: a place whose run of `key` words hashes leas
 `span` neighbouring places.  Minimisers depend on content alone, so equal passages of
 `key` + `span` - 1 = `words` words or more keep a suffix at the same place.
 
+0. Equal texts are one text, with its least id; whole copies are known from that alone.
 1. Suffixes (hash of the first `key` words, then of the next ones, document, place) are sorted
    by range partitions and compared with their neighbours.  Those that share their first `key`
    words with a neighbour are seeds.  The order ends with document and place, so a passage that
    a third of the documents share is split among partitions; a partition's first and last
    suffix, whose neighbours are elsewhere, are seeds too, as later steps are exact.
-2. Seeds go back to their documents, and are extended left and right: every window of `words`
-   words that holds a seed's key is hashed (64 + 64 bits), and windows that occur at two places
-   are repeated.  A window that repeats holds a minimiser that is a seed, so none is missed.
-3. Repeated windows that overlap or touch are merged to maximal spans of a document.  A window's
+2. Seeds go back to their texts, and are extended left and right: every window of `words` words
+   that holds a seed's key is hashed, and windows that occur at two places are repeated.  A
+   window that repeats holds a minimiser that is a seed, so none is missed.  Windows are dealt
+   by hash in packed blocks; of equal windows among some texts only the first is dealt.
+3. Repeated windows that overlap or touch are merged to maximal spans of a text.  A window's
    first place (least document, text hash, place) is its original; the words of a span that lie
    in windows which aren't the first are duplicates.
 
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.sources.packaging import ship
+
 from . import wordhash as wh
 from .shared import NULL_ID, id_key, shuffle_parts, written
 
@@ -103,8 +107,33 @@ def _seeds(suffixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, "_id long, _t long, _at int")
 
 
-def _windows(docs: DataFrame, words: int, key: int) -> DataFrame:
-    """_a, _b (hashes), _id, _t, _w (place) of every window that holds a seed of `_seeds`."""
+_NAMES = ["bucket", "a", "id", "t", "w", "later", "first", "at"]
+_KINDS = (np.uint64, np.int64, np.int64, np.int32, np.bool_, np.int64, np.int32)
+_SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
+
+
+def _blocks(bucket: np.ndarray, buckets: int, columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each bucket, its share of each column packed; `columns` in the order of _NAMES."""
+    by = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+    full = [b for b in range(buckets) if ends[b + 1] > ends[b]]
+    out = [pa.array(full, pa.int32())]
+    for col in columns:
+        if col is None:
+            out.append(pa.nulls(len(full), pa.binary()))
+        else:
+            dealt = col[by]
+            out.append(pa.array([dealt[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, names=_NAMES)
+
+
+def _unpacked(data: pa.Table, name: str) -> np.ndarray:
+    kind = _KINDS[_NAMES.index(name) - 1]
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in data.column(name).chunks for x in c])
+
+
+def _windows(docs: DataFrame, words: int, key: int, buckets: int) -> DataFrame:
+    """Blocks of windows that hold a seed: (a, id, t, w, later) with a bucket by a; locally repeated ones beyond the first by id, with their first."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +141,11 @@ def _windows(docs: DataFrame, words: int, key: int) -> DataFrame:
             seeds = batch.column(3)
             for first, data, offsets in wh.texts(batch.column(2)):
                 row, _, _, hashes = wh.words(data, offsets)
-                at = wh.bounds(row, len(offsets) - 1).tolist()
-                one, two = wh.grams(hashes, words), wh.grams(wh.mix(hashes + U(1)), words)
-                picked, rows, places = [], [], []
-                for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    count = hi - lo - words + 1
+                rows = len(offsets) - 1
+                at, one = wh.bounds(row, rows).tolist(), wh.grams(hashes, words)
+                picked, owner, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in np.lexsort((marks[first : first + rows], ids[first : first + rows])).tolist():
+                    count = at[i + 1] - at[i] - words + 1
                     if count <= 0:
                         continue
                     seed = np.asarray(seeds[first + i].values, np.int64)
@@ -124,63 +153,112 @@ def _windows(docs: DataFrame, words: int, key: int) -> DataFrame:
                     np.add.at(change, np.clip(seed - (words - key), 0, count), 1)
                     np.add.at(change, np.minimum(seed + 1, count), -1)
                     found = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                    picked.append(lo + found)
-                    rows.append(np.full(len(found), first + i))
+                    picked.append(at[i] + found)
+                    owner.append(np.full(len(found), first + i))
                     places.append(found)
-                if picked:
-                    p, r = np.concatenate(picked), np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[p].view(np.int64)), pa.array(two[p].view(np.int64)), pa.array(ids[r]), pa.array(marks[r]), pa.array(np.concatenate(places).astype(np.int32))],
-                        names=["_a", "_b", "_id", "_t", "_w"],
-                    )
+                p, r, w = np.concatenate(picked), np.concatenate(owner), np.concatenate(places).astype(np.int32)
+                if not len(p):
+                    continue
+                a, doc, t = one[p], ids[r], marks[r]
+                by = np.argsort(a, kind="stable")  # places stay in order
+                a, doc, t, w = a[by], doc[by], t[by], w[by]
+                new = np.concatenate([[True], a[1:] != a[:-1]])
+                again = np.concatenate([~new[1:], [False]]) & new
+                head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+                copy = ~new & ((doc != doc[head]) | (t != t[head]) | (w != w[head]))
+                again = np.isin(np.arange(len(a)), head[copy]) & again
+                yield _blocks((a[new] % U(buckets)).astype(np.int64), buckets, [a[new], doc[new], t[new], w[new], again[new], None, None])
+                if copy.any():
+                    h = head[copy]
+                    b = (wh.mix(t[copy].view(U)) % U(buckets)).astype(np.int64)
+                    out = _blocks(b, buckets, [None, doc[copy], t[copy], w[copy], np.ones(len(h), bool), doc[h], w[h]])
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - out.column(0).to_numpy()), *out.columns[1:]], names=_NAMES)
 
-    return docs.mapInArrow(extend, "_a long, _b long, _id long, _t long, _w int")
+    return docs.mapInArrow(extend, _SCHEMA)
 
 
-def _merged(words: int):
-    """Spans of a document's sorted repeated windows, and how many of a span's words are duplicates."""
+def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Blocks, by text, of the windows that occur at two places, with their first."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_t", "start_word", "n_words", "n_duplicate", "first_doc_id", "first_word"]
-        for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for doc, mark, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                flat = found.values
-                w = flat.field("w").to_numpy(zero_copy_only=False).astype(np.int64)
-                later = flat.field("later").to_numpy(zero_copy_only=False)
-                home, place = flat.field("first").to_numpy(zero_copy_only=False), flat.field("at").to_numpy(zero_copy_only=False)
-                cut = np.flatnonzero(np.diff(w) > words) + 1
-                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(w)], strict=True):
-                    begin, end = int(w[lo]), int(w[hi - 1]) + words
-                    over = np.zeros(end - begin + 1, np.int64)
-                    ws = w[lo:hi][later[lo:hi]] - begin
-                    np.add.at(over, ws, 1)
-                    np.add.at(over, ws + words, -1)
-                    for col, value in zip(cols, (doc, mark, begin, end - begin, int((np.cumsum(over) > 0).sum()), int(home[lo]), int(place[lo])), strict=True):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-    return merge
-
-
-def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text") -> DataFrame:
+    def match(data: pa.Table) -> pa.Table:
+        a, doc, t, w, again = (_unpacked(data, c) for c in ("a", "id", "t", "w", "later"))
+        by = np.lexsort((w, t, doc, a))
+        a, doc, t, w, again = a[by], doc[by], t[by], w[by], again[by]
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+        later = (doc != doc[head]) | (t != t[head]) | (w != w[head])
+        group = np.cumsum(new) - 1
+        twice = np.bincount(group, later | again) > 0
+        kept = np.flatnonzero(twice[group])
+        kept = kept[np.lexsort((w[kept], t[kept], doc[kept]))]
+        h = head[kept]
+        b = (wh.mix(t[kept].view(U)) % U(buckets)).astype(np.int64)
+        return pa.Table.from_batches([_blocks(b, buckets, [None, doc[kept], t[kept], w[kept], later[kept], doc[h], w[h]])])
+
+    return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(match, _SCHEMA)
+
+
+_SPANS = ["_id", "_t", "start_word", "n_words", "n_duplicate", "first_doc_id", "first_word"]
+
+
+def _spans(blocks: DataFrame, words: int) -> DataFrame:
+    """Maximal spans of each text, and how many of a span's words are duplicates."""
+
+    def merge(data: pa.Table) -> pa.Table:
+        doc, t, w, later, first, at = (_unpacked(data, c) for c in ("id", "t", "w", "later", "first", "at"))
+        by = np.lexsort((at, first, w, t, doc))
+        doc, t, w, later, first, at = doc[by], t[by], w[by].astype(np.int64), later[by], first[by], at[by]
+        cols: list[list] = [[] for _ in _SPANS]
+        cut = np.flatnonzero((doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (np.diff(w) > words)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(w)], strict=True):
+            begin, end = int(w[lo]), int(w[hi - 1]) + words
+            over = np.zeros(end - begin + 1, np.int64)
+            ws = w[lo:hi][later[lo:hi]] - begin
+            np.add.at(over, ws, 1)
+            np.add.at(over, ws + words, -1)
+            for col, value in zip(cols, (doc[lo], t[lo], begin, end - begin, int((np.cumsum(over) > 0).sum()), first[lo], at[lo]), strict=True):
+                col.append(int(value))
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(_SPANS, cols, strict=True)})
+
+    return blocks.groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in _SPANS))
+
+
+def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text", broadcast_texts: int = 1_000_000) -> DataFrame:
     """doc_id, start_word, n_words, n_duplicate, first_doc_id, first_word of each repeated span.
 
     A span's places are in words of the text; `n_duplicate` of its words have an earlier original;
-    `first_doc_id` and `first_word` are the original of the span's first window.
+    `first_doc_id` and `first_word` are the original of the span's first window, for a whole copy
+    the least id of its text.
     """
     if not 1 <= key < words:
         raise ValueError("key is at least 1 and below words")
-    docs = docs.select(id_key().alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("text"))
-    suffixes = written(_suffixes(docs, key, words - key + 1), "suffixes")
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(id_key().alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("text")).filter("text is not null")
+    # equal texts: their least id stands for all
+    copies = docs.select("_id", "_t").groupBy("_t").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most").select("_t", "_least")
+    copies = written(copies, "copies")
+    marked = F.broadcast(copies) if copies.count() <= broadcast_texts else copies
+    kept = docs.join(marked, "_t", "left").filter("_least is null or _id = _least")
+    suffixes = written(_suffixes(kept.select("_id", "_t", "text"), key, words - key + 1), "suffixes")
     seeds = written(_seeds(suffixes).groupBy("_id", "_t").agg(F.collect_set("_at").alias("_seeds")), "seeds")
-    holding = docs.join(seeds, ["_id", "_t"]).select("_id", "_t", "text", "_seeds")
-    windows = written(_windows(holding, words, key), "windows")
-    place = F.struct("_id", "_t", "_w")
-    first = windows.groupBy("_a", "_b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
-    found = windows.join(first, ["_a", "_b"])
-    each = F.struct(F.col("_w").alias("w"), (place > F.col("first")).alias("later"), F.col("first._id").alias("first"), F.col("first._w").alias("at"))
-    spans = found.groupBy("_id", "_t").agg(F.sort_array(F.collect_set(each)).alias("found"))
-    spans = spans.mapInArrow(_merged(words), "_id long, _t long, start_word long, n_words long, n_duplicate long, first_doc_id long, first_word long")
+    most = (seeds.agg(F.sum(F.size("_seeds"))).first()[0] or 0) * (words - key + 1)
+    buckets = max(shuffle_parts(spark), int(most / 2_000_000) + 1)
+    dealt = written(_windows(docs.join(seeds, ["_id", "_t"]).select("_id", "_t", "text", "_seeds"), words, key, buckets), "windows")
+    near = dealt.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket"))
+    spans = _spans(_repeated(dealt, buckets).unionByName(near), words)
+
+    # a text with copies is a span as a whole
+    many = docs.join(marked, "_t").withColumn("n_words", F.regexp_count("text", F.lit(r"[^ \x09-\x0D]+")).cast("long")).filter(F.col("n_words") >= words)
+    many = many.select("_id", "_t", "_least", "n_words").distinct()
+    parts = spans.select("_id", "_t", F.col("n_duplicate").alias("_d"), "first_doc_id", "first_word", "start_word")
+    own = parts.groupBy("_id", "_t").agg(F.sum("_d").alias("_d"), F.min(F.struct("start_word", "first_doc_id", "first_word")).alias("_f"))
+    whole = many.join(own, ["_id", "_t"], "left").select(
+        "_id", "_t", F.lit(0).cast("long").alias("start_word"), "n_words",
+        F.when(F.col("_id") > F.col("_least"), F.col("n_words")).otherwise(F.coalesce("_d", F.lit(0))).alias("n_duplicate"),
+        F.when((F.col("_id") > F.col("_least")) | F.col("_f").isNull() | (F.col("_f.start_word") > 0), F.col("_least")).otherwise(F.col("_f.first_doc_id")).alias("first_doc_id"),
+        F.when((F.col("_id") > F.col("_least")) | F.col("_f").isNull() | (F.col("_f.start_word") > 0), F.lit(0).cast("long")).otherwise(F.col("_f.first_word")).alias("first_word"),
+    )
+    out = spans.join(copies.select("_t"), "_t", "left_anti").select(*_SPANS).union(whole.select(*_SPANS))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return spans.select(null("_id").alias("doc_id"), "start_word", "n_words", "n_duplicate", null("first_doc_id").alias("first_doc_id"), "first_word")
+    return out.select(null("_id").alias("doc_id"), "start_word", "n_words", "n_duplicate", null("first_doc_id").alias("first_doc_id"), "first_word")
