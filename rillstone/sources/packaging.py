@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows go to Python in batches of so many bytes, so that long texts don't make large ones.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's modules to every executor, once for each application."""
+    """Sends the package's modules to every executor, once for each application, and bounds the batches sent to Python."""
     context = spark.sparkContext
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BYTES))
+    if now and int(now[1]) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent.parent
