@@ -60,7 +60,7 @@ class Model:
 
 def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 2e-4, rare: int = 5) -> Model:
     """docs: hashed words of each document; positive: which are confirmed.  Words in fewer than `rare` positives have no weight."""
-    lengths = np.array([len(d) for d in docs])
+    lengths = np.array([len(d) for d in docs], np.int64)
     words = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(docs)), lengths)
     n_p, n_u = int(positive.sum()), int((~positive).sum())
