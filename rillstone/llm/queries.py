@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import RATES
 from .shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -91,6 +92,9 @@ _CTL = r"(\\*)(### |</turn>)"
 _WORDS = r"[^ \x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_QUARTILES = ", ".join(f"greatest({floor}, quantile_disc({rate}, 0.75) + 3.0 * (quantile_disc({rate}, 0.75) - quantile_disc({rate}, 0.25))) AS {rate}_most" for rate, floor in RATES.items())
+_RULES = ", ".join(f"CASE WHEN r.{rate} > coalesce(own.{rate}_most, every.{rate}_most) THEN '{rate}' END" for rate in RATES)
+
 ORACLES: dict[str, str] = {
     "op1_chat": rf"""
 WITH rows AS (
@@ -136,4 +140,49 @@ n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_shingles, count(*) AS n_found
 FROM s d JOIN s i ON d.s = i.s AND d.kind = 0 AND i.kind = 1 JOIN n ON n.id = i.id
 GROUP BY d.id, i.id, n.n HAVING count(*) * 100 >= n.n * 75""",
+    "op4_repeats": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+win AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+rep AS (
+  SELECT doc_id, i, first(doc_id) OVER p AS fd, first(i) OVER p AS fi, count(*) OVER (PARTITION BY x) AS n
+  FROM win WINDOW p AS (PARTITION BY x ORDER BY doc_id, i)),
+cut AS (
+  SELECT *, (doc_id <> fd OR i <> fi) AS later, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM rep WHERE n > 1),
+span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM cut),
+dup AS (
+  SELECT doc_id, s, CAST(sum(least(50, coalesce(i - before, 50))) AS BIGINT) AS n
+  FROM (SELECT doc_id, s, i, lag(i) OVER (PARTITION BY doc_id, s ORDER BY i) AS before FROM span WHERE later) GROUP BY doc_id, s)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words, coalesce(any_value(dup.n), 0) AS n_duplicate,
+  arg_min(fd, i) AS first_doc_id, arg_min(fi, i) AS first_word
+FROM span LEFT JOIN dup USING (doc_id, s) GROUP BY doc_id, s""",
+    "op6_quality": rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+again AS (SELECT doc_id, CAST(sum(least(5, coalesce(i - before, 5))) AS BIGINT) AS n FROM twice GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ \x09-\x0D]')] AS l FROM d) d LEFT JOIN again USING (doc_id)),
+r AS (
+  SELECT *, n_symbols / greatest(n_words, 1) AS symbol_rate, 10 * n_dup_lines / greatest(n_words, 1) AS dup_line_rate,
+    n_repeat_words / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS word_length FROM c),
+own AS (SELECT lang, source, {_QUARTILES} FROM r GROUP BY lang, source HAVING count(*) >= 50),
+every AS (SELECT {_QUARTILES} FROM r),
+j AS (
+  SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {_RULES}) AS failed_rules
+  FROM r LEFT JOIN own ON own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source CROSS JOIN every)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM j""",
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT a, b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_n FROM s l JOIN s r ON l.s = r.s AND l.doc_id <> r.doc_id GROUP BY ALL)
+  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN link ON link.a = other)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
 }

@@ -227,8 +227,7 @@ def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text",
     """doc_id, start_word, n_words, n_duplicate, first_doc_id, first_word of each repeated span.
 
     A span's places are in words of the text; `n_duplicate` of its words have an earlier original;
-    `first_doc_id` and `first_word` are the original of the span's first window, for a whole copy
-    the least id of its text.
+    `first_doc_id` and `first_word` are the original of the span's first window.
     """
     if not 1 <= key < words:
         raise ValueError("key is at least 1 and below words")
@@ -252,12 +251,13 @@ def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text",
     many = docs.join(marked, "_t").withColumn("n_words", F.regexp_count("text", F.lit(r"[^ \x09-\x0D]+")).cast("long")).filter(F.col("n_words") >= words)
     many = many.select("_id", "_t", "_least", "n_words").distinct()
     parts = spans.select("_id", "_t", F.col("n_duplicate").alias("_d"), "first_doc_id", "first_word", "start_word")
-    own = parts.groupBy("_id", "_t").agg(F.sum("_d").alias("_d"), F.min(F.struct("start_word", "first_doc_id", "first_word")).alias("_f"))
-    whole = many.join(own, ["_id", "_t"], "left").select(
+    own = parts.groupBy("_t").agg(F.sum("_d").alias("_d"), F.min(F.struct("start_word", "first_doc_id", "first_word")).alias("_f"))
+    begun = F.coalesce(F.col("_f.start_word") == 0, F.lit(False))
+    whole = many.join(own, "_t", "left").select(
         "_id", "_t", F.lit(0).cast("long").alias("start_word"), "n_words",
         F.when(F.col("_id") > F.col("_least"), F.col("n_words")).otherwise(F.coalesce("_d", F.lit(0))).alias("n_duplicate"),
-        F.when((F.col("_id") > F.col("_least")) | F.col("_f").isNull() | (F.col("_f.start_word") > 0), F.col("_least")).otherwise(F.col("_f.first_doc_id")).alias("first_doc_id"),
-        F.when((F.col("_id") > F.col("_least")) | F.col("_f").isNull() | (F.col("_f.start_word") > 0), F.lit(0).cast("long")).otherwise(F.col("_f.first_word")).alias("first_word"),
+        F.when(begun, F.col("_f.first_doc_id")).otherwise(F.col("_least")).alias("first_doc_id"),
+        F.when(begun, F.col("_f.first_word")).otherwise(0).alias("first_word"),
     )
     out = spans.join(copies.select("_t"), "_t", "left_anti").select(*_SPANS).union(whole.select(*_SPANS))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
