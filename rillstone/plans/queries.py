@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.hashing import PRIME, bands_and_rows, bloom_size, minhash_parameters, row_seed
 from rillstone.operators import cache, prefix, ranking, running, similarity, sketches
-from rillstone.sources import generators
+from rillstone.sources import generators, scratch
 from rillstone.sources.tables import parsed_events, sequenced, table
 from rillstone.streaming import streams
 
@@ -709,3 +709,83 @@ def generated_events(spark, sf_dir):
 @query()
 def generated_cowatch(spark, sf_dir):
     return generators.cowatch(generators.users(spark, 300), generators.videos(spark, 100))
+
+
+@query()
+def generated_videos(spark, sf_dir):
+    return generators.videos(spark, 500)
+
+
+@query()
+def generated_stream_events(spark, sf_dir):
+    return generators.stream_events(spark, 5000)
+
+
+@query()
+def generated_accesses(spark, sf_dir):
+    return generators.access_stream(spark, 5000, 1000)
+
+
+@query()
+def generated_duplicates(spark, sf_dir):
+    return generators.duplicate_events(spark, 5000)
+
+
+@query()
+def generated_histories(spark, sf_dir):
+    return generators.watch_histories(spark)
+
+
+@query("SELECT 600::BIGINT AS titles, 0::BIGINT AS unanswered", ctes="")
+def generated_titles_and_prefixes(spark, sf_dir):
+    """Every generated prefix of a generated title finds a title."""
+    titles = generators.catalogue_titles(spark, 600)
+    found = prefix.catalogue(titles.select("title", F.lit(1).alias("popularity"), F.lit(0).alias("seq")))
+    asked = generators.prefix_queries(titles).distinct()
+    unanswered = asked.join(prefix.suggestions(asked, found, 1), "query", "left_anti").agg(F.count("*").alias("unanswered"))
+    return titles.agg(F.count("*").alias("titles")).crossJoin(unanswered)  # two single rows
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer", ctes="")
+def json_sink(spark, sf_dir):
+    """A table written as JSON lines, and read again."""
+    path = scratch.fresh_path(spark, "customer")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    scratch.write_json(rows, path)
+    return scratch.read_json(spark, path, "c_custkey bigint, c_name string, c_nationkey int")
+
+
+@query(
+    """, e AS (SELECT row_number() OVER (ORDER BY n DESC, item) AS rank, item, n FROM exact QUALIFY rank <= 10),
+    a AS (SELECT row_number() OVER (ORDER BY estimate DESC, item) AS rank, item, estimate FROM estimates QUALIFY rank <= 10)
+    SELECT CAST(rank AS INTEGER) AS rank, e.item AS exact, e.n AS exact_n, a.item AS approx, a.estimate AS approx_n FROM e FULL JOIN a USING (rank)""",
+    _CELLS,
+)
+def ranks_side_by_side(spark, sf_dir):
+    """The ten most frequent items by exact counts, and by Count-Min estimates."""
+    events = _events(spark, sf_dir)
+    estimates = sketches.cms_estimates(events, _cells(spark, sf_dir), "item", WIDTH, DEPTH).withColumnRenamed("estimate", "n")
+    return similarity.ranked_together(ranking.top_k(events, "item", 10), estimates.orderBy(F.desc("n"), "item").limit(10), "item")
+
+
+@query("SELECT 'hits' AS name, CAST(count(*) FILTER (hit) AS DOUBLE) AS value FROM h UNION ALL SELECT 'misses', count(*) FILTER (NOT hit) FROM h UNION ALL SELECT 'hit_rate', round(100 * count(*) FILTER (hit) / count(*), 2) FROM h", _TRACE)
+def cache_report(spark, sf_dir):
+    """Statistics as rows of a name and a value."""
+    row = cache.stats(cache.replay(_views(spark, sf_dir), CACHE), CACHE)
+    names = ["hits", "misses", "hit_rate"]
+    return row.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "name", "value")
+
+
+@query("SELECT p_name, count(*) AS parts FROM part GROUP BY p_name EXCEPT SELECT p_name, count(*) FROM part WHERE p_size > 25 GROUP BY p_name", ctes="")
+def catalogue_difference(spark, sf_dir):
+    """Set difference of two counted catalogues."""
+    parts = table(spark, sf_dir, "part")
+    counted = lambda df: df.groupBy("p_name").agg(F.count("*").alias("parts"))
+    return counted(parts).subtract(counted(parts.filter("p_size > 25")))
+
+
+@query("SELECT item FROM exact EXCEPT SELECT p_partkey FROM part WHERE p_partkey <= 90", _CELLS)
+def unknown_items(spark, sf_dir):
+    """Items of events that the catalogue lacks."""
+    known = _items(spark, sf_dir).filter("item <= 90")
+    return _events(spark, sf_dir).select("item").distinct().join(known, "item", "left_anti")
