@@ -26,7 +26,7 @@ from .shared import written
 _BLANK = " \t\n\x0b\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rates, and the floors under which no document fails.
-RATES = {"symbol_rate": 0.5, "dup_line_rate": 0.3, "repeat_rate": 0.15, "word_length": 12.0}
+RATES = {"symbol_rate": 0.3, "dup_line_rate": 0.3, "repeat_rate": 0.2, "word_length": 12.0}
 
 
 def counted(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -89,14 +89,25 @@ def thresholds(rated: DataFrame, keys: list[str], spread: float) -> DataFrame:
     return quartiles.select(*keys, "_rows", *[limit(r, floor).alias(f"_{r}") for r, floor in RATES.items()])
 
 
-def judged(docs: DataFrame, spread: float = 3.0, least: int = 50) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept, failed_rules of each row of `docs` (doc_id, text, lang, source)."""
+def judged(docs: DataFrame, spread: float = 3.0, least: int = 50, broadcast_groups: int = 100_000, salts: int = 16) -> DataFrame:
+    """doc_id, COUNTS, base_failed, kept, failed_rules of each row of `docs` (doc_id, text, lang, source).
+
+    Thresholds are sent to all executors while their groups are few (checked); beyond that they
+    are joined on a salt too, so that a source with a third of the rows is dealt to many tasks.
+    """
     rated = rates(written(counted(docs), "counts"))
     group = rated.select("*", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")).alias(f"_{c}") for c in ("lang", "source")])
     own = thresholds(group, ["_lang", "_source"], spread).filter(F.col("_rows") >= least).drop("_rows")
     # one row, whatever the input's size
     every = thresholds(rated, [], spread).select(*[F.col(f"_{r}").alias(f"_all_{r}") for r in RATES])
-    joined = group.join(own, ["_lang", "_source"], "left").join(F.broadcast(every), how="cross")
+    own, keys = written(own, "thresholds"), ["_lang", "_source"]
+    if own.count() <= broadcast_groups:
+        own = F.broadcast(own)
+    else:
+        keys = [*keys, "_salt"]
+        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        group = group.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    joined = group.join(own, keys, "left").join(F.broadcast(every), how="cross")
     over = [F.when(F.col(r) > F.coalesce(F.col(f"_{r}"), F.col(f"_all_{r}")), F.lit(r)) for r in RATES]
     rules = F.array_compact(F.array(*over))
     return joined.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & (F.size(rules) == 0)).alias("kept"), F.array_join(rules, ",").alias("failed_rules"))

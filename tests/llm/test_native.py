@@ -72,6 +72,8 @@ def test_quality_keeps_clean_and_drops_odd(spark):
     assert not any(got[i]["kept"] for i in (1000, 1001, 1002, 1003))
     assert [got[i]["base_failed"] for i in (1000, 1001, 1002, 1003)] == [False, True, True, True]
     assert got[1000]["failed_rules"] == "symbol_rate"
+    many = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), broadcast_groups=0)
+    assert {r["doc_id"]: r for r in many.collect()} == got
     assert quality.judged(spark.createDataFrame(rows[:0], "doc_id long, text string, lang string, source string")).count() == 0
 
 
