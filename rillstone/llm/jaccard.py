@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.sources.packaging import ship
+
 from . import wordhash as wh
 from .components import components
 from .shared import NULL_ID, id_key, shuffle_parts, written
@@ -41,7 +43,7 @@ LOW = U(2**63 - 1)
 TOP = U(1) << U(63)
 SIZE = 5
 #: Posting lists up to this long give all their pairs.
-SHORT = 6
+SHORT = 2
 
 
 def shingles(column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -108,7 +110,7 @@ def common_shingles(docs: DataFrame, most: int, text: str, size: int, flush: int
 
 
 def sets(docs: DataFrame, order: Order, whole: bool, percent: int, text: str, size: int) -> DataFrame:
-    """_id, n, node, prefix (hash), keys (of the prefix, or of the whole set) of each row."""
+    """_id, n, node, prefix (hash), last (key of the prefix), keys (of the prefix, or of the whole set) of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,18 +124,19 @@ def sets(docs: DataFrame, order: Order, whole: bool, percent: int, text: str, si
                 prefix = wh.mix(digest(prefixes).view(U) ^ n.astype(U)).view(np.int64)
                 kept = keys if whole else prefixes
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first : first + len(rows)], pa.array(n, pa.int32()), pa.array(whole_digest), pa.array(prefix), pa.array([k.tobytes() for k in kept], pa.binary())],
-                    names=["_id", "n", "node", "prefix", "keys"],
+                    [batch.column(0)[first : first + len(rows)], pa.array(n, pa.int32()), pa.array(whole_digest), pa.array(prefix), pa.array([int(k[-1]) - 2**64 * (int(k[-1]) >> 63) if len(k) else 0 for k in prefixes], pa.int64()), pa.array([k.tobytes() for k in kept], pa.binary())],
+                    names=["_id", "n", "node", "prefix", "last", "keys"],
                 )
 
-    return docs.select(id_key().alias("_id"), F.col(text).alias("text")).mapInArrow(make, "_id long, n int, node long, prefix long, keys binary")
+    return docs.select(id_key().alias("_id"), F.col(text).alias("text")).mapInArrow(make, "_id long, n int, node long, prefix long, last long, keys binary")
 
 
 def postings(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """From (prefix, n, keys): pairs (kind 0: a, b), and members of long lists (kind 1: key, a, n).
+    """From (prefix, n, keys): packed blocks of postings, a row for each bucket of keys, so that a row isn't a key.
 
-    Keys go to buckets in packed blocks, so that a row is a block, not a key.  Common keys, whose
-    lists may be of any length, are dealt one row each, as (kind 2: key, a, n).
+    Common keys, whose lists may be of any length, are dealt one row each (bucket -1: key, a, n,
+    cap).  A posting's cap is the largest size of a set whose first shared key with this one it
+    can be: at place i of n, as n - i shingles are left, and the overlap must reach its share.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,71 +148,90 @@ def postings(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
                 key = np.concatenate(keys) if keys else np.zeros(0, U)
                 a = np.repeat(part.column(0).to_numpy(zero_copy_only=False), lengths)
                 n = np.repeat(part.column(1).to_numpy(zero_copy_only=False), lengths).astype(np.int32)
+                place = np.arange(len(key)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+                more = np.clip(np.floor((n - place) * (100 + percent) / percent - n + 1e-6) - n, -(2**15), 2**15 - 1).astype(np.int16)
                 often = key >= TOP
                 if often.any():
-                    yield rows(2, np.full(int(often.sum()), -1, np.int32), key[often].view(np.int64), a[often], n[often])
-                key, a, n = key[~often], a[~often], n[~often]
+                    yield rows(np.full(int(often.sum()), -1, np.int32), key[often].view(np.int64), a[often], n[often], more[often])
+                key, a, n, more = key[~often], a[~often], n[~often], more[~often]
                 bucket = (key % U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
-                key, a, n = key[by], a[by], n[by]
+                key, a, n, more = key[by], a[by], n[by], more[by]
                 full = [b for b in range(buckets) if ends[b + 1] > ends[b]]
                 cut = lambda x: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())  # noqa: E731, B023
                 none = pa.nulls(len(full), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, pa.nulls(len(full), pa.int32()), cut(key), cut(a), cut(n)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, *[pa.nulls(len(full), pa.int32())] * 2, cut(key), cut(a), cut(n), cut(more)], names=names)
 
-    names = ["bucket", "key", "a", "n", "keys", "many_a", "many_n"]
+    names = ["bucket", "key", "a", "n", "cap", "keys", "many_a", "many_n", "many_more"]
 
-    def rows(kind: int, bucket: np.ndarray, key: np.ndarray, a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def rows(bucket: np.ndarray, key: np.ndarray, a: np.ndarray, n: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(key), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(a), pa.array(n), none, none, none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key), pa.array(a), pa.array(n), pa.array(n + more), *[none] * 4], names=names)
 
-    return groups.select("prefix", "n", "keys").mapInArrow(deal, "bucket int, key long, a long, n int, keys binary, many_a binary, many_n binary")
+    return groups.select("prefix", "n", "keys").mapInArrow(deal, "bucket int, key long, a long, n int, cap int, keys binary, many_a binary, many_n binary, many_more binary")
 
 
 def matched(dealt: DataFrame, percent: int) -> DataFrame:
-    """Pairs (kind 0: a, b) and members of long lists (kind 1: key, a, n) of each bucket's blocks."""
+    """Pairs (kind 0: a, b) and members of long lists (kind 1: key, a, n, cap) of each bucket's blocks; kind 2: all keys that several groups have (key, a)."""
 
     def match(data: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x.as_buffer(), U) for c in data.column("keys").chunks for x in c])
         a = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in data.column("many_a").chunks for x in c])
         n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for c in data.column("many_n").chunks for x in c])
-        by = np.argsort(key)
-        key, a, n = key[by], a[by], n[by]
+        more = np.concatenate([np.frombuffer(x.as_buffer(), np.int16) for c in data.column("many_more").chunks for x in c])
+        by = np.lexsort((a, key))
+        key, a, n, cap = key[by], a[by], n[by], n[by] + more[by]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1])])  # equal rows count once
+        key, a, n, cap = key[new], a[new], n[new], cap[new]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(start, len(key)))
         twice = length > 1
         start, length = start[twice], length[twice]
+        every = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+        # members that fit with none of their list are dropped from it
+        own = np.repeat(np.arange(len(start)), length)
+        if len(start):
+            at = np.cumsum(length) - length
+            smallest, widest = np.minimum.reduceat(n[every], at), np.maximum.reduceat(cap[every], at)
+            fit = (cap[every] >= smallest[own]) & (n[every] <= widest[own])
+        else:
+            fit = np.zeros(0, bool)
+        member, own = every[fit], own[fit]
+        length = np.bincount(own, minlength=len(start))
+        start = np.cumsum(length) - length  # in `member` from here on
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in range(2, SHORT + 1):  # all pairs of short lists
             at = start[length == size]
             for i in range(size):
                 for j in range(i + 1, size):
-                    left.append(at + i)
-                    right.append(at + j)
+                    left.append(member[at + i])
+                    right.append(member[at + j])
         long = length > SHORT
-        members = [np.arange(s, s + x) for s, x in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+        members = [member[s : s + x] for s, x in zip(start[long].tolist(), length[long].tolist(), strict=True)]
         for m in members:
             hub = m[np.lexsort((a[m], n[m]))[0]]
             left.append(np.full(len(m) - 1, hub))
             right.append(m[m != hub])
         left, right = np.concatenate(left), np.concatenate(right)
         x, y = a[left], a[right]
-        fits = (np.minimum(n[left], n[right]).astype(np.int64) * 100 >= np.maximum(n[left], n[right]).astype(np.int64) * percent) & (x != y)
+        fits = (n[left] <= cap[right]) & (n[right] <= cap[left]) & (x != y)
         pairs = np.unique(np.stack([np.minimum(x, y)[fits], np.maximum(x, y)[fits]]), axis=1)
         m = np.concatenate(members) if members else np.zeros(0, np.int64)
-        p = pairs.shape[1]
+        p, many = pairs.shape[1], len(m)
+        m = np.concatenate([m, every])
         return pa.table(
             {
-                "kind": pa.array(np.repeat([0, 1], [p, len(m)]), pa.int32()),
+                "kind": pa.array(np.repeat([0, 1, 2], [p, many, len(every)]), pa.int32()),
                 "key": pa.array(np.concatenate([np.zeros(p, np.int64), key[m].view(np.int64)])),
                 "a": pa.array(np.concatenate([pairs[0], a[m]])),
                 "b": pa.array(np.concatenate([pairs[1], np.zeros(len(m), np.int64)])),
                 "n": pa.array(np.concatenate([np.zeros(p, np.int32), n[m]])),
+                "cap": pa.array(np.concatenate([np.zeros(p, np.int32), cap[m]])),
             }
         )
 
-    return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(match, "kind int, key long, a long, b long, n int")
+    return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(match, "kind int, key long, a long, b long, n int, cap int")
 
 
 def _need(x: np.ndarray, y: np.ndarray, percent: int) -> int:
@@ -217,8 +239,14 @@ def _need(x: np.ndarray, y: np.ndarray, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def allowed(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Pairs of groups (a, b) whose prefixes allow the overlap that is needed."""
+    pairs = written(pairs, "met")
+    wanted = pairs.select(F.col("a").alias("prefix")).union(pairs.select(F.col("b").alias("prefix"))).distinct()
+    wanted = written(wanted, "asked")
+    if wanted.count() <= broadcast_ids:
+        wanted = F.broadcast(wanted)
+    groups = groups.join(wanted, "prefix", "left_semi").groupBy("prefix").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     side = lambda c: groups.select(F.col("prefix").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +264,126 @@ def allowed(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a long, b long")
 
 
+#: Members of a long list that one task compares with each other, or with as many others.
+BLOCK = 1000
+#: Lists up to this long are compared together with the other lists of their least member.
+FEW = 32
+
+
+def _passing(left: np.ndarray, right: np.ndarray, n: np.ndarray, last: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether so many common keys of two prefixes allow the overlap that is needed: what ends first is all there is up to its end."""
+    spare = n - (n - (n * percent + 99) // 100 + 1)
+    rest = np.where(last[left] <= last[right], spare[left], spare[right])
+    return both + rest >= -(-percent * (n[left] + n[right]) // (100 + percent))
+
+
+_PAIRS = "a long, part_a long, b long, part_b long"
+
+
+def crossed_short(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """As `crossed`, for lists of at most FEW members, with the least member of each list (`least`).
+
+    The lists of near copies have mostly the same least member, so one task has them together,
+    and each member's keys once.
+    """
+    spark = placed.sparkSession
+    buckets = max(64, shuffle_parts(spark), placed.count() // 20_000)
+    rows = placed.withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(buckets)).cast("int"))
+    own = rows.select("bucket", "a").distinct().join(groups.select(F.col("prefix").alias("a"), "last").distinct(), "a").join(shared, "a")
+    none = lambda kind: F.lit(None).cast(kind)
+    lists = rows.select("bucket", "a", "key", "n", "cap", "part_a", none("long").alias("last"), none("array<long>").alias("shared"))
+    both = lists.union(own.select("bucket", "a", none("long"), none("int"), none("int"), none("long"), "last", "shared"))
+
+    def cross(data: pa.Table) -> pa.Table:
+        is_list = data.column("shared").is_null().to_numpy()
+        member = data.filter(pa.array(~is_list))
+        entries = data.filter(pa.array(is_list))
+        ids = member.column("a").to_numpy()
+        keys = [np.asarray(x.values, np.int64) for c in member.column("shared").chunks for x in c]
+        by = np.argsort(ids)
+        ids, last = ids[by], member.column("last").to_numpy()[by].view(U)
+        keys = [keys[i] for i in by.tolist()]
+        key, a, part = (entries.column(c).to_numpy() for c in ("key", "a", "part_a"))
+        n, cap = entries.column("n").to_numpy().astype(np.int64), entries.column("cap").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, a, part, n, cap = key[order], a[order], part[order], n[order], cap[order]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lag in range(1, FEW):
+            at = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(at):
+                break
+            left.append(at)
+            right.append(at + lag)
+        x, y = np.concatenate(left), np.concatenate(right)
+        good = (part[x] != part[y]) & (a[x] != a[y]) & (n[x] <= cap[y]) & (n[y] <= cap[x])
+        x, y = x[good], y[good]
+        swap = a[x] > a[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        _, first = np.unique(np.stack([a[x], part[x], a[y], part[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        x, y = x[first], y[first]
+        place = np.searchsorted(ids, a)
+        common = np.array([len(np.intersect1d(keys[i], keys[j], assume_unique=True)) for i, j in zip(place[x].tolist(), place[y].tolist(), strict=True)], np.int64)
+        good = _passing(x, y, n, last[place] if len(a) else last, common, percent)
+        x, y = x[good], y[good]
+        return pa.table({"a": pa.array(a[x]), "part_a": pa.array(part[x]), "b": pa.array(a[y]), "part_b": pa.array(part[y])})
+
+    return both.groupBy("bucket").applyInArrow(cross, _PAIRS)
+
+
+def crossed(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, part_a, b, part_b) of members of one list (key, a, n, cap, part_a) in different parts whose prefixes may allow a link.
+
+    `shared` has each group's keys that other groups have too (a, shared), `groups` its prefix's
+    last key.  A list is cut into blocks by hash, and each pair of blocks is a task of its own;
+    common keys are counted there, by products of blocks of the incidence matrix, and only pairs
+    that pass are given out, each by the list of its first common key.
+    """
+    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    rows = placed.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("a", "part_a"), F.col("_blocks")).cast("int"))
+    rows = rows.join(groups.select(F.col("prefix").alias("a"), "last").distinct(), "a").join(shared, "a")
+    # a pair is given out by the list of its first common key, so keys before it don't count; the top bit orders last
+    ordered = lambda x: x.bitwiseXOR(F.lit(-(2**63)))
+    rows = rows.withColumn("shared", F.filter("shared", lambda x: ordered(x) >= ordered(F.col("key"))))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "a", "n", "cap", "part_a", "last", "shared")
+
+    def cross(data: pa.Table) -> pa.Table:
+        col = lambda c: data.column(c).to_numpy()
+        key, i, j = (data.column(c)[0].as_py() for c in ("key", "i", "j"))
+        key = np.int64(key).view(U)
+        own, a, n, cap, part, last = col("_own"), col("a"), col("n").astype(np.int64), col("cap"), col("part_a"), col("last").view(U)
+        p = n - (n * percent + 99) // 100 + 1
+        keys = [np.sort(np.asarray(x.values, np.int64).view(U)) for c in data.column("shared").chunks for x in c]
+        tokens, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        kept = times[at] > 1
+        number = np.cumsum(times > 1) - 1
+        row, token = np.repeat(np.arange(len(a)), [len(k) for k in keys])[kept], number[at[kept]]
+        by = np.argsort(token, kind="stable")
+        row, token = row[by], token[by]
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 4096
+        for lo in range(0, int((times > 1).sum()), width):
+            s, e = np.searchsorted(token, [lo, lo + width])
+            m = np.zeros((len(a), min(width, int((times > 1).sum()) - lo)), np.float32)
+            m[row[s:e], token[s:e] - lo] = 1
+            both += m[left] @ m[right].T
+        nx, ny = n[left][:, None], n[right][None, :]
+        need = -(-percent * (nx + ny) // (100 + percent))
+        # the prefix that ends first is all there is up to its end
+        rest = np.where(last[left][:, None] <= last[right][None, :], (n - p)[left][:, None], (n - p)[right][None, :])
+        good = (both + rest >= need) & (part[left][:, None] != part[right][None, :]) & (a[left][:, None] != a[right][None, :])
+        good &= (nx <= cap[right][None, :]) & (ny <= cap[left][:, None])
+        if i == j:
+            good &= np.tri(len(left), k=-1, dtype=bool)
+        out = [(left[x], right[y]) for x, y in zip(*np.nonzero(good), strict=True) if np.intersect1d(keys[left[x]], keys[right[y]], assume_unique=True)[0] == key]
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a[x]), "part_a": pa.array(part[x]), "b": pa.array(a[y]), "part_b": pa.array(part[y])})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(cross, _PAIRS)
+
+
 def similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes (u, v) whose whole sets have the similarity; full: node, keys."""
     side = lambda c: full.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
@@ -257,26 +405,34 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y), F.greatest(x, y)]
 
 
-def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1 << 18, text: str = "text", broadcast_ids: int = 1_000_000) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1 << 20, text: str = "text", broadcast_ids: int = 1_000_000, turns: int = 1) -> DataFrame:
     """doc_id, n_shingles, node, component_id of each row of `docs`: the least id reachable by links."""
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and at most 100")
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
     order = Order(common_shingles(docs, common, text, size))
     rows = written(sets(docs, order, False, percent, text, size), "sets")
     full_rows = rows.filter("n > 0")
-    groups = written(full_rows.groupBy("prefix").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("node").alias("hub")), "groups")
     members = written(full_rows.groupBy("prefix", "node").agg(F.first("n").alias("n"), F.min("_id").alias("_id")), "members")
+    hubs_of = members.groupBy("prefix").agg(F.min("node").alias("hub"))
+    # one row stands for a group: all but it are dropped where the groups of several rows, and no prefixes, are known
+    shared = full_rows.groupBy("prefix").agg(F.min(F.struct("_id", "node")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    shared = written(shared, "shared")
+    if shared.count() <= broadcast_ids:
+        shared = F.broadcast(shared)
+    groups = full_rows.join(shared, "prefix", "left").filter((F.col("_one").isNull()) | (F.struct("_id", "node") == F.col("_one"))).select("prefix", "n", "last", "keys")
 
     entries = groups.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    buckets = max(shuffle_parts(docs.sparkSession), int(entries / 8 / 1_000_000) + 1)
-    dealt = written(postings(groups, buckets, percent), "dealt")
+    # at least 64, so that blocks are alike, and work spreads, at every size
+    buckets = max(64, shuffle_parts(docs.sparkSession), int(entries / 8 / 1_000_000) + 1)
+    dealt = postings(groups, buckets, percent)
     found = written(matched(dealt, percent), "found")
-    often = dealt.filter("bucket < 0").select("key", "a", "n")
+    often = written(dealt.filter("bucket < 0").select("key", "a", "n", "cap").distinct(), "often")
     # a common shingle's smallest group meets its others: one aggregate, combined before the shuffle
-    hubs = often.groupBy("key").agg(F.min(F.struct("n", "a")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    stars = often.join(hubs, "key").filter(F.col("hub.n") * 100 >= F.col("n") * percent).select(*[c.alias(x) for c, x in zip(_ordered(F.col("a"), F.col("hub.a")), "ab", strict=True)])
-    lists = found.filter("kind = 1").select("key", "a", "n").union(often.join(hubs, "key", "left_semi"))
+    hubs = often.groupBy("key").agg(F.min(F.struct("n", "a", "cap")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    stars = often.join(hubs, "key").filter((F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))).select(*[c.alias(x) for c, x in zip(_ordered(F.col("a"), F.col("hub.a")), "ab", strict=True)])
+    lists = found.filter("kind = 1").select("key", "a", "n", "cap").union(often.join(hubs, "key", "left_semi").select("key", "a", "n", "cap"))
     short = found.filter("kind = 0").select("a", "b")
     candidates = written(allowed(short.union(stars).filter("a <> b").distinct(), groups, percent), "candidates")
 
@@ -295,35 +451,53 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
         whole = written(whole.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("keys").alias("keys")), "whole")
         return written(similar(pairs, whole, percent), "links")
 
-    hub = lambda c: groups.select(F.col("prefix").alias(c), F.col("hub").alias(f"hub_{c}"))
+    hub = lambda c: hubs_of.select(F.col("prefix").alias(c), F.col("hub").alias(f"hub_{c}"))
     first = candidates.join(hub("a"), "a").join(hub("b"), "b").select(F.col("hub_a").alias("u"), F.col("hub_b").alias("v"))
-    within = members.join(groups.select("prefix", "hub"), "prefix").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    within = members.join(hubs_of, "prefix").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     links = verified(first.union(within))
     label = written(components(links), "labels")
 
-    # what is left: candidates whose components differ
-    parts = members.join(label, "node", "left").select("prefix", "node", "n", F.coalesce("label", "node").alias("part"))
-    parts = written(parts, "parts")
-    kinds = parts.select("prefix", "part").distinct()
-    split = kinds.join(kinds.groupBy("prefix").agg(F.count("*").alias("c")).filter("c > 1").select("prefix"), "prefix")
+    # A list's group that is in most lists, such as the text that others are edits of, meets those in other components.
+    degree = lists.groupBy("a").agg(F.count("*").alias("d"))
+    apart = (F.col("part_a") != F.col("part_b")) & (F.col("n") <= F.col("cap_b")) & (F.col("m") <= F.col("cap"))
+    for turn in range(turns + 1):
+        parts = written(members.join(label, "node", "left").select("prefix", "node", "n", F.coalesce("label", "node").alias("part")), "parts")
+        kinds = parts.groupBy("prefix", "part").agg(F.min("node").alias("rep"))
+        placed = lists.join(kinds.select(F.col("prefix").alias("a"), F.col("part").alias("part_a")), "a")
+        split = placed.groupBy("key").agg(F.min("part_a").alias("p"), F.max("part_a").alias("q"), F.min("n").alias("smallest"), F.max("cap").alias("widest")).filter("p <> q")
+        placed = placed.join(split, "key").filter("cap >= smallest and n <= widest").select("key", "a", "n", "cap", "part_a")
+        placed = written(placed, "mixed")
+        if turn == turns:
+            break
+        score = F.col("d") if turn == 0 else F.xxhash64(F.lit(turn), "a")
+        heads = placed.join(degree, "a").groupBy("key").agg(F.max(F.struct(score.alias("d"), "a", F.col("n").alias("m"), "part_a", "cap")).alias("h"))
+        heads = heads.select("key", F.col("h.a").alias("b"), F.col("h.m").alias("m"), F.col("h.part_a").alias("part_b"), F.col("h.cap").alias("cap_b"))
+        met = placed.join(heads, "key").filter(apart & (F.col("a") != F.col("b"))).select("a", "part_a", "b", "part_b").distinct()
+        met = met.join(allowed(met.select("a", "b").distinct(), groups, percent), ["a", "b"])
+        rep = lambda c, x: kinds.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("rep").alias(x))  # noqa: E731, B023
+        more = verified(met.join(rep("a", "u"), ["a", "part_a"]).join(rep("b", "v"), ["b", "part_b"]).select("u", "v"))
+        if not more.isEmpty():
+            links = links.union(more)
+            label = written(components(links), "labels")
+
+    # What is left: candidates whose components differ.
     kind = lambda c: kinds.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"))
-    across = candidates.join(kind("a"), "a").join(kind("b"), "b")
-    inside = split.select(F.col("prefix").alias("a"), F.col("part").alias("part_a")).join(split.select(F.col("prefix").alias("a"), F.col("part").alias("part_b")), "a").withColumn("b", F.col("a"))
-    listed = lists.join(kinds.withColumnRenamed("prefix", "a"), "a")
-    mixed = listed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    listed = written(listed.join(mixed, "key"), "mixed")
-    one = listed.select("key", "a", "n", F.col("part").alias("part_a"))
-    two = listed.select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("part").alias("part_b"))
-    far = one.join(two, "key").filter((F.col("part_a") < F.col("part_b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
-    far = far.select("a", "part_a", "b", "part_b").distinct()
-    fits = allowed(far.filter("a <> b").select("a", "b").distinct(), groups, percent).distinct()
-    far = far.join(fits, ["a", "b"])
-    pieces = across.select("a", "part_a", "b", "part_b").unionByName(inside).unionByName(far).filter("part_a <> part_b").distinct()
+    across = candidates.join(kind("a"), "a").join(kind("b"), "b").filter("part_a <> part_b").select("a", "part_a", "b", "part_b")
+    # parts of one group, which are few: its members have one prefix
+    inside = kind("a").join(kinds.select(F.col("prefix").alias("a"), F.col("part").alias("part_b")), "a").filter("part_a < part_b").select("a", "part_a", F.col("a").alias("b"), "part_b")
+    mixed = placed.select("a").distinct()
+    common_keys = found.filter("kind = 2").select("a", "key").union(often.join(hubs, "key", "left_semi").select("a", "key"))
+    common_keys = common_keys.join(mixed, "a", "left_semi").groupBy("a").agg(F.collect_set("key").alias("shared"))
+    common_keys = written(common_keys, "shared-keys")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("least"))
+    few = placed.join(sizes.filter(F.col("c") <= FEW), "key").drop("c")
+    many = placed.join(sizes.filter(F.col("c") > FEW).select("key"), "key")
+    far = crossed_short(few, common_keys, groups, percent).union(crossed(many, common_keys, groups, percent))
+    far = written(far.distinct(), "far")
+    far = far.join(allowed(far.select("a", "b").distinct(), groups, percent), ["a", "b"])
+    pieces = across.union(inside).unionByName(far).distinct()
     member = lambda c, x: parts.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("node").alias(x))
-    rest = pieces.join(member("a", "u"), ["a", "part_a"]).join(member("b", "v"), ["b", "part_b"]).select("u", "v")
-    tried = first.union(within).select(*[c.alias(x) for c, x in zip(_ordered(F.col("u"), F.col("v")), "uv", strict=True)])
-    rest = rest.select(*[c.alias(x) for c, x in zip(_ordered(F.col("u"), F.col("v")), "uv", strict=True)]).join(tried, ["u", "v"], "left_anti")
-    more = verified(rest)
+    more = verified(pieces.join(member("a", "u"), ["a", "part_a"]).join(member("b", "v"), ["b", "part_b"]).select("u", "v"))
     if not more.isEmpty():
         label = written(components(links.union(more)), "labels")
 
