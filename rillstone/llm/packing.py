@@ -16,6 +16,7 @@ at most `cache` chunks of text.
 from __future__ import annotations
 
 import bisect
+import ctypes
 import re
 import zlib
 from array import array
@@ -48,7 +49,7 @@ class Encoder:
     keeps it for its later tasks.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
@@ -76,6 +77,15 @@ class _Known(dict):
         return ids
 
 
+def give_back() -> None:
+    """Returns what this worker's earlier tasks have freed to the system, before the dictionary grows."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -150,6 +160,7 @@ def packed(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         packer, encode = Packer(tiers), encoder(tokenizer).encode
         part = TaskContext.get().partitionId() << 32
         store: dict[int, tuple[int | None, bytes]] = {}
