@@ -149,7 +149,7 @@ def postings(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
                 a = np.repeat(part.column(0).to_numpy(zero_copy_only=False), lengths)
                 n = np.repeat(part.column(1).to_numpy(zero_copy_only=False), lengths).astype(np.int32)
                 place = np.arange(len(key)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
-                more = np.clip(np.floor((n - place) * (100 + percent) / percent - n + 1e-6) - n, -(2**15), 2**15 - 1).astype(np.int16)
+                more = (np.floor((n - place) * (100 + percent) / percent - n + 1e-6) - n).astype(np.int32)
                 often = key >= TOP
                 if often.any():
                     yield rows(np.full(int(often.sum()), -1, np.int32), key[often].view(np.int64), a[often], n[often], more[often])
@@ -179,7 +179,7 @@ def matched(dealt: DataFrame, percent: int) -> DataFrame:
         key = np.concatenate([np.frombuffer(x.as_buffer(), U) for c in data.column("keys").chunks for x in c])
         a = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in data.column("many_a").chunks for x in c])
         n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for c in data.column("many_n").chunks for x in c])
-        more = np.concatenate([np.frombuffer(x.as_buffer(), np.int16) for c in data.column("many_more").chunks for x in c])
+        more = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for c in data.column("many_more").chunks for x in c])
         by = np.lexsort((a, key))
         key, a, n, cap = key[by], a[by], n[by], n[by] + more[by]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1])])  # equal rows count once

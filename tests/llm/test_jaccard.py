@@ -77,3 +77,13 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert jaccard.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("common", [0, 1 << 18])
+def test_size_bounds_of_very_long_texts(spark, common):
+    """Sizes above 100,000 that differ by more than 32,767, of a similarity above 0.75; a copy makes shared shingles common."""
+    words = [f"w{i}" for i in range(155_004)]
+    rows = [(3, " ".join(words[:120_004])), (5, " ".join(words)), (7, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.linked(docs, common=common).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(3, 120_000, 3), (5, 155_000, 3), (7, 155_000, 3)]
