@@ -13,7 +13,8 @@ A suffix is kept at each minimiser: a place whose run of `key` words hashes leas
 2. Seeds go back to their texts, and are extended left and right: every window of `words` words
    that holds a seed's key is hashed, and windows that occur at two places are repeated.  A
    window that repeats holds a minimiser that is a seed, so none is missed.  Windows are dealt
-   by hash in packed blocks; of equal windows among some texts only the first is dealt.
+   by hash in packed blocks; of equal windows among some texts only the first is dealt.  Where a
+   span may begin at another of them, that first is asked for the first of all texts.
 3. Repeated windows that overlap or touch are merged to maximal spans of a text.  A window's
    first place (least document, text hash, place) is its original; the words of a span that lie
    in windows which aren't the first are duplicates.
@@ -108,7 +109,7 @@ def _seeds(suffixes: DataFrame) -> DataFrame:
 
 
 _NAMES = ["bucket", "a", "id", "t", "w", "later", "first", "at"]
-_KINDS = (np.uint64, np.int64, np.int64, np.int32, np.bool_, np.int64, np.int32)
+_KINDS = (np.uint64, np.int64, np.int64, np.int32, np.int8, np.int64, np.int32)
 _SCHEMA = "bucket int, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
 
 
@@ -133,7 +134,11 @@ def _unpacked(data: pa.Table, name: str) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, words: int, key: int, buckets: int) -> DataFrame:
-    """Blocks of windows that hold a seed: (a, id, t, w, later) with a bucket by a; locally repeated ones beyond the first by id, with their first."""
+    """Blocks of windows that hold a seed: (a, id, t, w, later) with a bucket by a; locally repeated ones beyond the first by id, with their first.
+
+    `later` is 1 for a window that has such copies, and 3 if a span may begin at one of them.
+    Those copies are in blocks without a bucket too, with the text hash of their first as `a`.
+    """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,24 +166,36 @@ def _windows(docs: DataFrame, words: int, key: int, buckets: int) -> DataFrame:
                     continue
                 a, doc, t = one[p], ids[r], marks[r]
                 by = np.argsort(a, kind="stable")  # places stay in order
-                a, doc, t, w = a[by], doc[by], t[by], w[by]
+                a, doc, t, r, w = a[by], doc[by], t[by], r[by], w[by]
                 new = np.concatenate([[True], a[1:] != a[:-1]])
                 again = np.concatenate([~new[1:], [False]]) & new
                 head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
                 copy = ~new & ((doc != doc[head]) | (t != t[head]) | (w != w[head]))
                 again = np.isin(np.arange(len(a)), head[copy]) & again
+                # a span begins at a copy only if its text has no repeated window shortly before it
+                place = np.argsort(by)  # in text order
+                known = place[(copy | again)[place]]
+                apart = np.concatenate([[True], (r[known][1:] != r[known][:-1]) | (np.diff(w[known]) > words)])[: len(known)]
+                begins = known[apart]
+                begins = begins[copy[begins]]
+                again = again.astype(np.int8)
+                again[head[begins]] = 3
                 yield _blocks((a[new] % U(buckets)).astype(np.int64), buckets, [a[new], doc[new], t[new], w[new], again[new], None, None])
+                if len(begins):
+                    h = head[begins]
+                    out = _blocks(np.zeros(len(h), np.int64), 1, [t[h], doc[begins], t[begins], w[begins], None, doc[h], w[h]])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *out.columns[1:]], names=_NAMES)
                 if copy.any():
                     h = head[copy]
                     b = (wh.mix(t[copy].view(U)) % U(buckets)).astype(np.int64)
-                    out = _blocks(b, buckets, [None, doc[copy], t[copy], w[copy], np.ones(len(h), bool), doc[h], w[h]])
+                    out = _blocks(b, buckets, [None, doc[copy], t[copy], w[copy], np.ones(len(h), np.int8), doc[h], w[h]])
                     yield pa.RecordBatch.from_arrays([pa.array(-1 - out.column(0).to_numpy()), *out.columns[1:]], names=_NAMES)
 
     return docs.mapInArrow(extend, _SCHEMA)
 
 
 def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Blocks, by text, of the windows that occur at two places, with their first."""
+    """Blocks, by text, of the windows that occur at two places, with their first; `later` is 2 more where it was asked for."""
 
     def match(data: pa.Table) -> pa.Table:
         a, doc, t, w, again = (_unpacked(data, c) for c in ("a", "id", "t", "w", "later"))
@@ -188,12 +205,12 @@ def _repeated(dealt: DataFrame, buckets: int) -> DataFrame:
         head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
         later = (doc != doc[head]) | (t != t[head]) | (w != w[head])
         group = np.cumsum(new) - 1
-        twice = np.bincount(group, later | again) > 0
+        twice = np.bincount(group, later | (again > 0)) > 0
         kept = np.flatnonzero(twice[group])
         kept = kept[np.lexsort((w[kept], t[kept], doc[kept]))]
         h = head[kept]
         b = (wh.mix(t[kept].view(U)) % U(buckets)).astype(np.int64)
-        return pa.Table.from_batches([_blocks(b, buckets, [None, doc[kept], t[kept], w[kept], later[kept], doc[h], w[h]])])
+        return pa.Table.from_batches([_blocks(b, buckets, [None, doc[kept], t[kept], w[kept], later[kept] | (again[kept] & 2), doc[h], w[h]])])
 
     return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(match, _SCHEMA)
 
@@ -202,13 +219,15 @@ _SPANS = ["_id", "_t", "start_word", "n_words", "n_duplicate", "first_doc_id", "
 
 
 def _spans(blocks: DataFrame, words: int) -> DataFrame:
-    """Maximal spans of each text, and how many of a span's words are duplicates."""
+    """Maximal spans of each text, and how many of a span's words are duplicates; with n_words 0, windows that were asked for their first."""
 
     def merge(data: pa.Table) -> pa.Table:
         doc, t, w, later, first, at = (_unpacked(data, c) for c in ("id", "t", "w", "later", "first", "at"))
         by = np.lexsort((at, first, w, t, doc))
         doc, t, w, later, first, at = doc[by], t[by], w[by].astype(np.int64), later[by], first[by], at[by]
-        cols: list[list] = [[] for _ in _SPANS]
+        asked, later = later > 1, (later & 1) > 0
+        zero = np.zeros(int(asked.sum()), np.int64)
+        cols: list[list] = [x.tolist() for x in (doc[asked], t[asked], w[asked], zero, zero, first[asked], at[asked])]
         cut = np.flatnonzero((doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (np.diff(w) > words)) + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(w)], strict=True):
             begin, end = int(w[lo]), int(w[hi - 1]) + words
@@ -223,6 +242,19 @@ def _spans(blocks: DataFrame, words: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in _SPANS))
 
 
+def _asked(dealt: DataFrame) -> DataFrame:
+    """Copies at which a span may begin (_id, _t, start_word), and their first among some texts (_h, _ht, _hw)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data = pa.Table.from_batches([batch])
+                cols = [_unpacked(data, c) for c in ("id", "t", "w", "first", "a", "at")]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64)) for x in cols], names=["_id", "_t", "start_word", "_h", "_ht", "_hw"])
+
+    return dealt.filter("bucket is null").mapInArrow(unpack, "_id long, _t long, start_word long, _h long, _ht long, _hw long")
+
+
 def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text", broadcast_texts: int = 1_000_000) -> DataFrame:
     """doc_id, start_word, n_words, n_duplicate, first_doc_id, first_word of each repeated span.
 
@@ -245,7 +277,13 @@ def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text",
     buckets = max(shuffle_parts(spark), int(most / 2_000_000) + 1)
     dealt = written(_windows(docs.join(seeds, ["_id", "_t"]).select("_id", "_t", "text", "_seeds"), words, key, buckets), "windows")
     near = dealt.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket"))
-    spans = _spans(_repeated(dealt, buckets).unionByName(near), words)
+    found = written(_spans(_repeated(dealt, buckets).unionByName(near), words), "spans")
+    firsts = found.filter("n_words = 0").select(F.col("_id").alias("_h"), F.col("_t").alias("_ht"), F.col("start_word").alias("_hw"), F.col("first_doc_id").alias("_first"), F.col("first_word").alias("_place"))
+    heads = ["_h", "_ht", "_hw"]
+    # a first among some texts has no more copies than those have
+    answered = _asked(dealt).join(firsts.dropDuplicates(heads), heads).drop(*heads).dropDuplicates(["_id", "_t", "start_word"])
+    spans = found.filter("n_words > 0").join(answered, ["_id", "_t", "start_word"], "left")
+    spans = spans.withColumns({"first_doc_id": F.coalesce("_first", "first_doc_id"), "first_word": F.coalesce("_place", "first_word")}).select(*_SPANS)
 
     # a text with copies is a span as a whole
     many = docs.join(marked, "_t").withColumn("n_words", F.regexp_count("text", F.lit(r"[^ \x09-\x0D]+")).cast("long")).filter(F.col("n_words") >= words)

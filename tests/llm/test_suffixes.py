@@ -72,3 +72,31 @@ def test_repeated_rows_are_one_text(spark):
     docs = spark.createDataFrame([(1, a, 0), (1, a, 1)], "doc_id long, text string, start_word int")
     assert suffixes.repeats(docs).count() == 0
     assert suffixes.repeats(docs.limit(0)).count() == 0
+
+
+def firsts(rows, words):
+    """(doc, first word of a span, document and place of the first of its first window) of distinct documents."""
+    split = {doc: WORDS.findall(lowered(text)) for doc, text in rows}
+    places = defaultdict(list)
+    for doc in sorted(split):
+        for i in range(len(split[doc]) - words + 1):
+            places[tuple(split[doc][i : i + words])].append((doc, i))
+    return sorted((doc, i, *places[tuple(split[doc][i : i + words])][0]) for doc, i, _ in brute(rows, words))
+
+
+def test_first_is_that_of_all_partitions(spark):
+    """Copies that lie together, in another partition than their first."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(70))
+    rows = [(1, f"k {a}"), (2, "short"), (5, f"x y {a} z"), (7, f"u {a} {b}"), (3, f"{b} end"), (9, f"{b} {a}"), (10, f"w {b}"), (11, f"q r s {a}"), (4, "short too")]
+    for n in (3, 4):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+        got = suffixes.repeats(docs).select("doc_id", "start_word", "first_doc_id", "first_word").collect()
+        assert sorted(map(tuple, got)) == firsts(rows, 50)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_firsts_against_brute_force(spark, seed):
+    rows = corpus(seed, 50, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.repeats(docs).select("doc_id", "start_word", "first_doc_id", "first_word").collect()
+    assert sorted(map(tuple, got)) == firsts(rows, 50)
