@@ -166,7 +166,7 @@ def runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
         last, token = end, text[start:end]
         left = len(token) - len(token.lstrip(_EDGE))
         token = token.strip(_EDGE)
-        run.append((start + left, start + left + len(token), token[:64]))
+        run.append((start + left, start + left + len(token), token))
     if run:
         yield run
 

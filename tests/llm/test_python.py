@@ -217,3 +217,11 @@ def test_packing_repeated_rows(spark):
 def test_bad_parameters():
     with pytest.raises(ValueError):
         packing.packed(None, "x", tiers=(1000,))
+
+
+def test_added_spans_of_long_tokens():
+    """What lies beyond a token's first 64 characters is seen."""
+    model = pii.field()
+    for name in ("bob", "b" * 70):
+        runs = list(pii.runs(f"write to {name}@localhost now"))
+        assert pii.added(runs, model) == [[("email", 9, 9 + len(name) + 10)]]
