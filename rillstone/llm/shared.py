@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,35 @@ def id_key(column: str = "doc_id") -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """`name`, with underscores put before it until none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """`left` joined with `right`, a small row for each key, where one key may hold a third of left's rows: each key is dealt to `salts` tasks."""
+    own = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return own.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: list[str], how: str = "inner", block: int = 5000, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """`left` joined with `right`, a row of any size for each key: a key of more than `block` rows is dealt to as many tasks as it has blocks.
+
+    Keys of so many rows are at most one in `block` of left's rows; they are sent to all
+    executors while they are few (checked), and joined otherwise.
+    """
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
+    hot = written(hot, "hot")
+    number = hot.count()
+    if not number:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot) if number <= broadcast_keys else hot
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    own = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    other = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return own.join(other, [key, "_salt"], how).drop("_salt")
