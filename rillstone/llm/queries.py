@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import RATES
+from .quality import POINTS, RATES
 from .shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -92,8 +92,22 @@ _CTL = r"(\\*)(### |</turn>)"
 _WORDS = r"[^ \x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_QUARTILES = ", ".join(f"greatest({floor}, quantile_disc({rate}, 0.75) + 3.0 * (quantile_disc({rate}, 0.75) - quantile_disc({rate}, 0.25))) AS {rate}_most" for rate, floor in RATES.items())
-_RULES = ", ".join(f"CASE WHEN r.{rate} > coalesce(own.{rate}_most, every.{rate}_most) THEN '{rate}' END" for rate in RATES)
+_RATE = {rate: f"{count} / greatest(n_words, 1)" for rate, count in RATES.items()}
+_QUANTILES = ", ".join(f"quantile_disc(s_{r}, {POINTS}) AS p_{r}" for r in RATES)
+
+
+def _limit(rate: str) -> str:
+    points = f"""
+    SELECT lang, source, n AS w, unnest(p_{rate}) AS v FROM g
+    UNION ALL SELECT g.lang, g.source, 20, unnest(l.p_{rate}) FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang
+    UNION ALL SELECT g.lang, g.source, 20, unnest(e.p_{rate}) FROM g CROSS JOIN e"""
+    summed = f"SELECT *, sum(w) OVER (PARTITION BY lang, source ORDER BY v) AS c, sum(w) OVER (PARTITION BY lang, source) AS t FROM ({points})"
+    return f"m_{rate} AS (SELECT lang, source, b * pow(b / a, 2.0) AS m_{rate} FROM (SELECT lang, source, min(v) FILTER (4 * c >= t) AS a, min(v) FILTER (4 * c >= 3 * t) AS b FROM ({summed}) GROUP BY lang, source))"
+
+
+_LIMITS = ",\n".join(map(_limit, RATES))
+_JOINS = " ".join(f"LEFT JOIN m_{r} ON m_{r}.lang IS NOT DISTINCT FROM r.lang AND m_{r}.source IS NOT DISTINCT FROM r.source" for r in RATES)
+_RULES = ", ".join(f"CASE WHEN NOT base_failed AND {r} > m_{r} THEN '{r}' END" for r in RATES)
 
 ORACLES: dict[str, str] = {
     "op1_chat": rf"""
@@ -166,13 +180,13 @@ c AS (
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
   FROM (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ \x09-\x0D]')] AS l FROM d) d LEFT JOIN again USING (doc_id)),
 r AS (
-  SELECT *, n_symbols / greatest(n_words, 1) AS symbol_rate, 10 * n_dup_lines / greatest(n_words, 1) AS dup_line_rate,
-    n_repeat_words / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS word_length FROM c),
-own AS (SELECT lang, source, {_QUARTILES} FROM r GROUP BY lang, source HAVING count(*) >= 50),
-every AS (SELECT {_QUARTILES} FROM r),
-j AS (
-  SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {_RULES}) AS failed_rules
-  FROM r LEFT JOIN own ON own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source CROSS JOIN every)
+  SELECT *, {", ".join(f"{x} AS {r}, ({RATES[r]} + 1) / greatest(n_words, 1) AS s_{r}" for r, x in _RATE.items())},
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+g AS (SELECT lang, source, count(*) AS n, {_QUANTILES} FROM r WHERE NOT base_failed GROUP BY lang, source),
+l AS (SELECT lang, {_QUANTILES} FROM r WHERE NOT base_failed GROUP BY lang),
+e AS (SELECT {_QUANTILES} FROM r WHERE NOT base_failed),
+{_LIMITS},
+j AS (SELECT r.*, concat_ws(',', {_RULES}) AS failed_rules FROM r {_JOINS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM j""",
     "op7_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
