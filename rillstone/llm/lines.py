@@ -11,7 +11,8 @@ window that a third of the documents share is dealt to `salts` tasks.
 
 Case by case: a null text stays null; texts of fewer than three lines with words stay as they
 are; rows with equal id and text are one place, so none of them loses lines for another; null
-ids come first; an empty table gives no row; other columns stay and are not read.
+ids come first; an empty table gives no row; other columns stay, whatever their names, and are
+not read, but `n_lines` and `n_removed`, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_key
+from .shared import id_key, salted_join, unused
 
 WORD = r"[^ \x09-\x0D]"
 
@@ -42,17 +43,18 @@ def deduplicated(docs: DataFrame, size: int = 3, salts: int = 16, text: str = "t
     windows = _windows(docs, text, size)
     place = F.struct("_id", "_t", F.col("_at")[0].alias("_p"))
     first = windows.groupBy("_a", "_b").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = windows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_t"), F.lit(salts)).cast("int"))
-    later = salted.join(first, ["_a", "_b", "_salt"]).filter(place > F.col("_first"))
-    gone = later.groupBy("_id", "_t").agg(F.array_distinct(F.flatten(F.collect_set("_at"))).alias("_gone"))
+    later = salted_join(windows, first, ["_a", "_b"], ["_id", "_t"], salts=salts).filter(place > F.col("_first"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*kept, id_key().alias("_id"), F.xxhash64(text).alias("_t")).join(gone, ["_id", "_t"], "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(_split(text)) - 1), F.col("_gone"))
-    short = F.array_join(F.transform(left, lambda i: F.get(_split(text), i)), "\n")
-    n_lines = F.coalesce(F.size(F.filter(_split(text), lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
+    key, mark, gone, split = (unused(kept, c) for c in ("_id", "_t", "_gone", "_lines"))
+    covered = later.groupBy(F.col("_id").alias(key), F.col("_t").alias(mark)).agg(F.array_distinct(F.flatten(F.collect_set("_at"))).alias(gone))
+    rows = docs.select(*kept, id_key().alias(key), F.xxhash64(text).alias(mark)).join(covered, [key, mark], "left")
+    # `split` is named twice below, so that the text is split once for a row, not once for each line
+    rows = rows.withColumn(split, _split(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    short = F.when(F.size(split) > 0, F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
+    n_lines = F.coalesce(F.size(F.filter(F.col(split), lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
     return rows.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(short).alias(c) if c == text else c for c in kept],
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(short).alias(c) if c == text else c for c in kept],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
