@@ -86,27 +86,23 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 
 def masks(formatted: Column, role: str = "assistant") -> Column:
-    """Loss mask: (start, end) in code points, ends exclusive, of the bodies of this role's turns."""
-    starts = F.aggregate(
+    """Loss mask: a run (skip, take) for each turn, in code points from the turn's start.
+
+    `take` is the length of the body of a turn of this role, and 0 for others; what is left of a
+    turn, its end string included, is skipped.
+    """
+    return F.transform(
         _blocks(formatted),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, b: F.struct(
-            (acc["at"] + F.length(b) + len(END)).alias("at"),
-            F.when(
-                _parsed(b)["role"] == role,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.instr(b, "\n")).cast("int").alias("start"), (acc["at"] + F.length(b)).cast("int").alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+        lambda b: F.struct(F.instr(b, "\n").alias("skip"), F.when(_parsed(b)["role"] == role, F.length(b) - F.instr(b, "\n")).otherwise(0).alias("take")),
     )
-    return starts
 
 
 def digests(chats: DataFrame, role: str = "assistant") -> DataFrame:
     """What the formatted strings give back, as digests."""
     read = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("mask", masks(F.col("formatted"), role))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform("mask", lambda m: unguarded(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), "")
+    # each run is cut out of its own turn, so the time is linear in the conversation
+    learnt = F.array_join(F.zip_with(_blocks(F.col("formatted")), "mask", lambda b, m: unguarded(F.substring(b, m["skip"] + 1, m["take"]))), "")
     return read.withColumn("learnt", learnt).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
