@@ -153,14 +153,14 @@ def shape(token: str) -> str:
 
 
 def runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Runs of neighbouring tokens that have a digit or `@`: (start, end, token without marks at its edges)."""
+    """Runs of tokens that have a digit or `@`, with nothing but white space between them: (start, end, token without marks at its edges)."""
     run: list[tuple[int, int, str]] = []
     last = 0
     for m in _FROM_MARK.finditer(text):
         start, end = m.span()
         while start > last and not text[start - 1].isspace():
             start -= 1
-        if run and not (start - last <= 64 and text[last:start].isspace()):
+        if run and not text[last:start].isspace():
             yield run
             run = []
         last, token = end, text[start:end]
