@@ -225,3 +225,11 @@ def test_added_spans_of_long_tokens():
     for name in ("bob", "b" * 70):
         runs = list(pii.runs(f"write to {name}@localhost now"))
         assert pii.added(runs, model) == [[("email", 9, 9 + len(name) + 10)]]
+
+
+def test_runs_go_on_over_any_white_space():
+    model = pii.field()
+    for gap in (" ", " " * 3, " " * 70, "\n" * 5000):
+        text = f"ring (020){gap}7946 0111 now"
+        ((kind, start, end),) = [s for spans in pii.added(list(pii.runs(text)), model) for s in spans]
+        assert (kind, text[start:end]) == ("phone", f"(020){gap}7946 0111")
