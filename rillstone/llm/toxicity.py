@@ -1,14 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other text of the sample, whatever it is
-labelled, is unlabelled.  A linear model over hashed words (each word once a document) is
+Confirmed toxic documents are the positives; the unlabelled text is that of documents that have
+no label.  A linear model over hashed words and beginnings of words (each once a document) is
 trained in numpy with the non-negative risk estimator
 
     prior * R_p(+)  +  max(0, R_u(-) - prior * R_p(-)),
 
 where R_p and R_u are mean losses over positives and unlabelled rows and `prior` is the share of
-toxic documents.  The sigmoid loss bounds what one mislabelled document adds.  Where the
-bracket is below zero, its gradient is reversed, as the estimator's authors do.
+toxic documents among the unlabelled.  The sigmoid loss bounds what one mislabelled document
+adds.  Where the bracket is below zero, its gradient is reversed, as the estimator's authors do.
+
+The prior needs no negatives.  It is given, or estimated from a model of half the sample: among
+the scores of the other half, the least ratio of the share of unlabelled rows above a threshold
+to that of positives, with the confidence bound of best bin estimation.
 
 Training takes at most `most_positive` and `most_unlabelled` rows, those with the least hash of
 their id: a bounded sample.  Scoring reads every whole text.
@@ -29,17 +33,38 @@ from rillstone.sources.packaging import ship
 from . import wordhash as wh
 
 BITS = 18
+#: Lengths, in bytes, of the beginnings of words that are features too.
+PREFIXES = (3, 4)
 #: Marks that stick to words and say nothing about them.
 EDGE = np.zeros(256, bool)
 EDGE[[ord(c) for c in "\"'`.,;:!?#$%&*|<>()[]{}-_=+~^/\\"]] = True
 
 
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Marks are blanks; capital letters up to U+00DE, which are 0xC3 and a byte in UTF-8, are small ones."""
+    out = wh.lowered(np.where(EDGE[data], np.uint8(32), data))
+    capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+    out[1:][capital] += np.uint8(32)
+    return out
+
+
 def features(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, row of each, hashed word of each, rows); every word of a row once."""
+    """(first row, row of each, hashed word or beginning of each, rows)."""
     for first, data, offsets in wh.texts(column):
-        clean = np.where(EDGE[data], np.uint8(32), data)
-        row, _, _, hashes = wh.words(clean, offsets)
-        yield first, row, (hashes >> wh.U(64 - BITS)).astype(np.int64), len(offsets) - 1
+        clean = _lowered(data)
+        row, start, end, hashes = wh.words(clean, offsets, lower=False)
+        rows, words = [row], [hashes]
+        head = np.zeros(len(start), wh.U)
+        for k in range(max(PREFIXES)):
+            long = end - start > k
+            row, start, end, head = row[long], start[long], end[long], head[long]
+            head = head * wh.U(257) + clean[start + k]
+            if k + 1 in PREFIXES:
+                rows.append(row)
+                words.append(wh.mix(head * wh.U(8) + wh.U(k + 1)))
+        row = np.concatenate(rows)
+        by = np.argsort(row, kind="stable")
+        yield first, row[by], (np.concatenate(words)[by] >> wh.U(64 - BITS)).astype(np.int64), len(offsets) - 1
 
 
 @dataclass
@@ -58,8 +83,28 @@ class Model:
         return out
 
 
-def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 2e-4, rare: int = 5) -> Model:
-    """docs: hashed words of each document; positive: which are confirmed.  Words in fewer than `rare` positives have no weight."""
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores z before the sigmoid, and the slope along which training descends.
+
+    The slope is the risk's gradient, but where unlabelled text seems less than clean (the
+    bracket is negative): there it is the bracket's, reversed.
+    """
+    n_p, n_u = positive.sum(), (~positive).sum()
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # the loss of calling a row toxic is 1 - s, of calling it clean s
+    slope = s * (1 - s)
+    bracket = s[~positive].mean() - prior * s[positive].mean()
+    value = prior * (1 - s[positive]).mean() + max(0.0, bracket)
+    if bracket >= 0:
+        return value, np.where(positive, -2 * prior / n_p * slope, slope / n_u)
+    return value, np.where(positive, prior / n_p * slope, -slope / n_u)
+
+
+def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 2e-4, rare: int = 5, lift: float = 4.0) -> Model:
+    """docs: hashed words of each document; positive: which are confirmed.
+
+    Words have a weight only if they are in `rare` positives or more, and `lift` times as common
+    among them as among the unlabelled, and by more than chance.
+    """
     lengths = np.array([len(d) for d in docs], np.int64)
     words = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(docs)), lengths)
@@ -70,7 +115,7 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int
     in_u = np.bincount(words[~positive[row]], minlength=1 << BITS)
     # words must be commoner among the positives by three deviations of the counts
     share = in_u / n_u
-    vocab = (in_p >= rare) & (in_p - n_p * share > 3 * np.sqrt(n_p * (share + 1 / n_u)))
+    vocab = (in_p >= rare) & (in_p >= lift * n_p * share) & (in_p - n_p * share > 3 * np.sqrt(n_p * (share + 1 / n_u)))
     keep = vocab[words]
     words, row = words[keep], row[keep]
     ids, words = np.unique(words, return_inverse=True)
@@ -78,11 +123,7 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = b + np.bincount(row, w[words], len(docs))
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # the loss of calling a row toxic is 1 - s, of calling it clean s
-        slope = s * (1 - s)
-        negative = s[~positive].mean() - prior * s[positive].mean()
-        sign = 1.0 if negative >= 0 else -1.0
-        g = np.where(positive, -prior / n_p * slope * (1 if sign > 0 else 0) - sign * prior / n_p * slope, sign / n_u * slope)
+        g = risk(z, positive, prior)[1]
         gw, gb = np.bincount(words, g[row], len(ids)), g.sum()
         m += 0.1 * (gw - m)
         v += 0.01 * (gw * gw - v)
@@ -97,26 +138,51 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int
     return Model(weights, float(b))
 
 
+def best_bin(positives: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled, from scores of both that training hasn't seen.
+
+    Above the threshold where the bound on the ratio of both shares is least, the unlabelled rows
+    are taken to be positive.
+    """
+    if not len(positives) or not len(unlabelled):
+        return 0.0
+    cuts = np.unique(positives)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
+    q_p, q_u = above(positives), above(unlabelled)
+    slack = (1 + gamma) * (np.sqrt(np.log(4 / delta) / 2 / len(unlabelled)) + np.sqrt(np.log(4 / delta) / 2 / len(positives)))
+    best = np.argmin((q_u + slack) / q_p)
+    return float(min(1.0, q_u[best] / q_p[best]))
+
+
+def estimated_prior(docs: list[np.ndarray], positive: np.ndarray) -> float:
+    """By a model of every second row of each kind, whose own prior is a rough one, and the others' scores."""
+    half = np.zeros(len(docs), bool)
+    for kind in (positive, ~positive):
+        half[np.flatnonzero(kind)[::2]] = True
+    model = fit([docs[i] for i in np.flatnonzero(half)], positive[half], 0.5)
+    z = np.array([model.weights[docs[i]].sum() for i in np.flatnonzero(~half)])
+    kind = positive[~half]
+    return best_bin(z[kind], z[~kind])
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """The test fold: crc32 of the id as text, modulo 5, is 0; a null id counts as the text `null`."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("null")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12000, text: str = "text") -> Model:
-    """A model from labelled rows outside the test fold; `labels` (doc_id, toxic), a null label counts as none.
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12000, prior: float | None = None, text: str = "text") -> Model:
+    """A model from rows outside the test fold: texts that `labels` (doc_id, toxic) confirms, and texts it says nothing of.
 
-    An id that `labels` gives twice is toxic if one row says so.  Without positives, or without
-    other rows, every score is near 0.
+    A null label counts as none; an id that `labels` gives twice is toxic if one row says so.  A
+    label of 0 is not used.  Without positives, or without unlabelled documents, every score is
+    near 0.
     """
     ship(docs.sparkSession)
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit("sample"), F.col("doc_id")), F.col("doc_id")]
-    counts = {int(r["t"]): r["n"] for r in marked.groupBy((F.col("toxic") == 1).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    # The unlabelled rows are of all kinds in their own shares, toxic ones too.
-    positives = marked.filter("toxic = 1").orderBy(*order).limit(most_positive).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = marked.orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    positives = marked.filter((F.col("toxic") == 1) & ~held_out()).orderBy(*order).limit(most_positive).select("doc_id", F.lit(True).alias("positive"))
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).join(marked, "doc_id", "left_anti").distinct()
+    unlabelled = ids.orderBy(*order).limit(most_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     sample = positives.unionByName(unlabelled)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     # most_positive + most_unlabelled rows at most, so the ids are sent to every executor
     rows = docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(sample), "doc_id").select("positive", "text").mapInArrow(extract, "positive boolean, words binary").collect()
     rows.sort(key=lambda r: (r["positive"], bytes(r["words"])))
-    return fit([np.frombuffer(r["words"], "<i4").astype(np.int64) for r in rows], np.array([r["positive"] for r in rows], bool), prior)
+    found, positive = [np.frombuffer(r["words"], "<i4").astype(np.int64) for r in rows], np.array([r["positive"] for r in rows], bool)
+    return fit(found, positive, estimated_prior(found, positive) if prior is None else prior)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -149,7 +216,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     return docs.select(kept).mapInArrow(apply, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample: int) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **sample: float) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of `docs`; only doc_id and text are read.
 
     Rows that repeat are scored each for itself; an empty table gives no row.

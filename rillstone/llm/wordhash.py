@@ -114,6 +114,10 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def bounds(row: np.ndarray, rows: int) -> np.ndarray:
     """Where each row's words begin in arrays by word, and where the last ends."""
     return np.searchsorted(row, np.arange(rows + 1))
