@@ -138,15 +138,16 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int
     return Model(weights, float(b))
 
 
-def best_bin(positives: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+def best_bin(positives: np.ndarray, unlabelled: np.ndarray, default: float = 0.1, delta: float = 0.1, gamma: float = 0.01) -> float:
     """The share of positives among the unlabelled, from scores of both that training hasn't seen.
 
     Above the threshold where the bound on the ratio of both shares is least, the unlabelled rows
-    are taken to be positive.
+    are taken to be positive.  Scores that say nothing, which are 0, are no threshold; where no
+    positive has another, `default` is the answer.
     """
-    if not len(positives) or not len(unlabelled):
-        return 0.0
-    cuts = np.unique(positives)
+    cuts = np.unique(positives[positives > 0])
+    if not len(cuts) or not len(unlabelled):
+        return default
     above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
     q_p, q_u = above(positives), above(unlabelled)
     slack = (1 + gamma) * (np.sqrt(np.log(4 / delta) / 2 / len(unlabelled)) + np.sqrt(np.log(4 / delta) / 2 / len(positives)))
@@ -155,14 +156,16 @@ def best_bin(positives: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1,
 
 
 def estimated_prior(docs: list[np.ndarray], positive: np.ndarray) -> float:
-    """By a model of every second row of each kind, whose own prior is a rough one, and the others' scores."""
+    """By a model of every second row of each kind, whose own prior is a rough one, and the others' scores; the mean of both ways round."""
     half = np.zeros(len(docs), bool)
     for kind in (positive, ~positive):
         half[np.flatnonzero(kind)[::2]] = True
-    model = fit([docs[i] for i in np.flatnonzero(half)], positive[half], 0.5)
-    z = np.array([model.weights[docs[i]].sum() for i in np.flatnonzero(~half)])
-    kind = positive[~half]
-    return best_bin(z[kind], z[~kind])
+    found = []
+    for own in (half, ~half):
+        model = fit([docs[i] for i in np.flatnonzero(own)], positive[own], 0.5)
+        z = np.array([model.weights[docs[i]].sum() for i in np.flatnonzero(~own)])
+        found.append(best_bin(z[positive[~own]], z[~positive[~own]]))
+    return sum(found) / 2
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
