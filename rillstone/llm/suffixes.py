@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from rillstone.sources.packaging import ship
 
 from . import wordhash as wh
-from .shared import NULL_ID, id_key, shuffle_parts, written
+from .shared import NULL_ID, id_key, salted_join, shuffle_parts, written
 
 U = wh.U
 
@@ -269,15 +269,16 @@ def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text",
     # equal texts: their least id stands for all
     copies = docs.select("_id", "_t").groupBy("_t").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most").select("_t", "_least")
     copies = written(copies, "copies")
-    marked = F.broadcast(copies) if copies.count() <= broadcast_texts else copies
-    kept = docs.join(marked, "_t", "left").filter("_least is null or _id = _least")
-    suffixes = written(_suffixes(kept.select("_id", "_t", "text"), key, words - key + 1), "suffixes")
-    seeds = written(_seeds(suffixes).groupBy("_id", "_t").agg(F.collect_set("_at").alias("_seeds")), "seeds")
+    few = copies.count() <= broadcast_texts
+    mark = lambda rows, how: rows.join(F.broadcast(copies), "_t", how) if few else salted_join(rows, copies, ["_t"], ["_id"], how)
+    kept = mark(docs, "left").filter("_least is null or _id = _least")
+    suffixes = written(_suffixes(kept.select("_id", "_t", "text"), key, words - key + 1), "suffixes", tidy=True)
+    seeds = written(_seeds(suffixes).groupBy("_id", "_t").agg(F.collect_set("_at").alias("_seeds")), "seeds", tidy=True)
     most = (seeds.agg(F.sum(F.size("_seeds"))).first()[0] or 0) * (words - key + 1)
     buckets = max(shuffle_parts(spark), int(most / 2_000_000) + 1)
-    dealt = written(_windows(docs.join(seeds, ["_id", "_t"]).select("_id", "_t", "text", "_seeds"), words, key, buckets), "windows")
+    dealt = written(_windows(docs.join(seeds, ["_id", "_t"]).select("_id", "_t", "text", "_seeds"), words, key, buckets), "windows", tidy=True)
     near = dealt.filter("bucket < 0").withColumn("bucket", -1 - F.col("bucket"))
-    found = written(_spans(_repeated(dealt, buckets).unionByName(near), words), "spans")
+    found = written(_spans(_repeated(dealt, buckets).unionByName(near), words), "spans", tidy=True)
     firsts = found.filter("n_words = 0").select(F.col("_id").alias("_h"), F.col("_t").alias("_ht"), F.col("start_word").alias("_hw"), F.col("first_doc_id").alias("_first"), F.col("first_word").alias("_place"))
     heads = ["_h", "_ht", "_hw"]
     # a first among some texts has no more copies than those have
@@ -286,12 +287,12 @@ def repeats(docs: DataFrame, words: int = 50, key: int = 25, text: str = "text",
     spans = spans.withColumns({"first_doc_id": F.coalesce("_first", "first_doc_id"), "first_word": F.coalesce("_place", "first_word")}).select(*_SPANS)
 
     # a text with copies is a span as a whole
-    many = docs.join(marked, "_t").withColumn("n_words", F.regexp_count("text", F.lit(r"[^ \x09-\x0D]+")).cast("long")).filter(F.col("n_words") >= words)
+    many = mark(docs, "inner").withColumn("n_words", F.regexp_count("text", F.lit(r"[^ \x09-\x0D]+")).cast("long")).filter(F.col("n_words") >= words)
     many = many.select("_id", "_t", "_least", "n_words").distinct()
     parts = spans.select("_id", "_t", F.col("n_duplicate").alias("_d"), "first_doc_id", "first_word", "start_word")
     own = parts.groupBy("_t").agg(F.sum("_d").alias("_d"), F.min(F.struct("start_word", "first_doc_id", "first_word")).alias("_f"))
     begun = F.coalesce(F.col("_f.start_word") == 0, F.lit(False))
-    whole = many.join(own, "_t", "left").select(
+    whole = salted_join(many, own, ["_t"], ["_id"], "left").select(
         "_id", "_t", F.lit(0).cast("long").alias("start_word"), "n_words",
         F.when(F.col("_id") > F.col("_least"), F.col("n_words")).otherwise(F.coalesce("_d", F.lit(0))).alias("n_duplicate"),
         F.when(begun, F.col("_f.first_doc_id")).otherwise(F.col("_least")).alias("first_doc_id"),
