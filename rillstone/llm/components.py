@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is two aggregates and two joins on (node); nothing is collected, and no task holds a
-component.  A step's links are written in the shared folder, which cuts lineage.  The rounds
+Each step is two aggregates, combined before the shuffle, and two joins on node and a salt;
+nothing is collected, and no task holds a component.  A step's links are written in the shared folder, which cuts lineage.  The rounds
 end when the links no longer change, after about the logarithm of the largest component's size.
 """
 
@@ -10,27 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import salted_join, written
 
 
 def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its least neighbour (itself counts)."""
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return salted_join(both.filter("v > u"), least, ["u"], ["v"], salts=4).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    others = salted_join(down, least, ["u"], ["v"], salts=4).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) of every node that has a link (u, v, longs): the component's least node."""
-    links = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     mark = None
     for _ in range(most):
         links = written(_small(_large(links)), "links")

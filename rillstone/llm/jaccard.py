@@ -36,7 +36,7 @@ from rillstone.sources.packaging import ship
 
 from . import wordhash as wh
 from .components import components
-from .shared import NULL_ID, id_key, shuffle_parts, written
+from .shared import NULL_ID, hot_join, id_key, salted_join, shuffle_parts, written
 
 U = wh.U
 LOW = U(2**63 - 1)
@@ -110,11 +110,11 @@ def common_shingles(docs: DataFrame, most: int, text: str, size: int, flush: int
 
 
 def sets(docs: DataFrame, order: Order, whole: bool, percent: int, text: str, size: int) -> DataFrame:
-    """_id, n, node, prefix (hash), last (key of the prefix), keys (of the prefix, or of the whole set) of each row."""
+    """_id, _t (text hash), n, node, prefix (hash), last (key of the prefix), keys (of the prefix, or of the whole set) of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows in shingles(batch.column(1), size):
+            for first, rows in shingles(batch.column(2), size):
                 keys = [order.keys(g) for g in rows]
                 n = np.array([len(k) for k in keys])
                 need = n - (n * percent + 99) // 100 + 1
@@ -124,11 +124,11 @@ def sets(docs: DataFrame, order: Order, whole: bool, percent: int, text: str, si
                 prefix = wh.mix(digest(prefixes).view(U) ^ n.astype(U)).view(np.int64)
                 kept = keys if whole else prefixes
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first : first + len(rows)], pa.array(n, pa.int32()), pa.array(whole_digest), pa.array(prefix), pa.array([int(k[-1]) - 2**64 * (int(k[-1]) >> 63) if len(k) else 0 for k in prefixes], pa.int64()), pa.array([k.tobytes() for k in kept], pa.binary())],
-                    names=["_id", "n", "node", "prefix", "last", "keys"],
+                    [batch.column(0)[first : first + len(rows)], batch.column(1)[first : first + len(rows)], pa.array(n, pa.int32()), pa.array(whole_digest), pa.array(prefix), pa.array([int(k[-1]) - 2**64 * (int(k[-1]) >> 63) if len(k) else 0 for k in prefixes], pa.int64()), pa.array([k.tobytes() for k in kept], pa.binary())],
+                    names=["_id", "_t", "n", "node", "prefix", "last", "keys"],
                 )
 
-    return docs.select(id_key().alias("_id"), F.col(text).alias("text")).mapInArrow(make, "_id long, n int, node long, prefix long, last long, keys binary")
+    return docs.select(id_key().alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("text")).mapInArrow(make, "_id long, _t long, n int, node long, prefix long, last long, keys binary")
 
 
 def postings(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -239,9 +239,9 @@ def _need(x: np.ndarray, y: np.ndarray, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
+def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: int = 1_000_000, block: int = 20_000) -> DataFrame:
     """Pairs of groups (a, b) whose prefixes allow the overlap that is needed."""
-    pairs = written(pairs, "met")
+    pairs = written(pairs, "met", tidy=True)
     wanted = pairs.select(F.col("a").alias("prefix")).union(pairs.select(F.col("b").alias("prefix"))).distinct()
     wanted = written(wanted, "asked")
     if wanted.count() <= broadcast_ids:
@@ -261,7 +261,7 @@ def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: in
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(test, "a long, b long")
+    return hot_join(pairs, {"a": side("a"), "b": side("b")}, block).mapInArrow(test, "a long, b long")
 
 
 #: Members of a long list that one task compares with each other, or with as many others.
@@ -339,7 +339,7 @@ def crossed(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: in
     that pass are given out, each by the list of its first common key.
     """
     sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    rows = placed.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("a", "part_a"), F.col("_blocks")).cast("int"))
+    rows = salted_join(placed, sizes, ["key"], ["a"]).withColumn("_own", F.pmod(F.xxhash64("a", "part_a"), F.col("_blocks")).cast("int"))
     rows = rows.join(groups.select(F.col("prefix").alias("a"), "last").distinct(), "a").join(shared, "a")
     # a pair is given out by the list of its first common key, so keys before it don't count; the top bit orders last
     ordered = lambda x: x.bitwiseXOR(F.lit(-(2**63)))
@@ -384,7 +384,7 @@ def crossed(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: in
     return rows.groupBy("key", "i", "j").applyInArrow(cross, _PAIRS)
 
 
-def similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, full: DataFrame, percent: int, block: int = 20_000) -> DataFrame:
     """Pairs of nodes (u, v) whose whole sets have the similarity; full: node, keys."""
     side = lambda c: full.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
 
@@ -398,7 +398,7 @@ def similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(test, "u long, v long")
+    return hot_join(pairs, {"u": side("u"), "v": side("v")}, block).mapInArrow(test, "u long, v long")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -406,13 +406,16 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 
 def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1 << 20, text: str = "text", broadcast_ids: int = 1_000_000, turns: int = 1) -> DataFrame:
-    """doc_id, n_shingles, node, component_id of each row of `docs`: the least id reachable by links."""
+    """doc_id, n_shingles, node, component_id (the least id reachable by links), text_hash, component of each row of `docs`.
+
+    `component` is the least node of a component, and tells those of one id's different texts apart.
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and at most 100")
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
     order = Order(common_shingles(docs, common, text, size))
-    rows = written(sets(docs, order, False, percent, text, size), "sets")
+    rows = written(sets(docs, order, False, percent, text, size), "sets", tidy=True)
     full_rows = rows.filter("n > 0")
     members = written(full_rows.groupBy("prefix", "node").agg(F.first("n").alias("n"), F.min("_id").alias("_id")), "members")
     hubs_of = members.groupBy("prefix").agg(F.min("node").alias("hub"))
@@ -427,12 +430,13 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     # at least 64, so that blocks are alike, and work spreads, at every size
     buckets = max(64, shuffle_parts(docs.sparkSession), int(entries / 8 / 1_000_000) + 1)
     dealt = postings(groups, buckets, percent)
-    found = written(matched(dealt, percent), "found")
+    found = written(matched(dealt, percent), "found", tidy=True)
     often = written(dealt.filter("bucket < 0").select("key", "a", "n", "cap").distinct(), "often")
     # a common shingle's smallest group meets its others: one aggregate, combined before the shuffle
     hubs = often.groupBy("key").agg(F.min(F.struct("n", "a", "cap")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    stars = often.join(hubs, "key").filter((F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))).select(*[c.alias(x) for c, x in zip(_ordered(F.col("a"), F.col("hub.a")), "ab", strict=True)])
-    lists = found.filter("kind = 1").select("key", "a", "n", "cap").union(often.join(hubs, "key", "left_semi").select("key", "a", "n", "cap"))
+    stars = salted_join(often, hubs, ["key"], ["a"]).filter((F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))).select(*[c.alias(x) for c, x in zip(_ordered(F.col("a"), F.col("hub.a")), "ab", strict=True)])
+    shared_often = salted_join(often, hubs.select("key"), ["key"], ["a"], "left_semi")
+    lists = found.filter("kind = 1").select("key", "a", "n", "cap").union(shared_often.select("key", "a", "n", "cap"))
     short = found.filter("kind = 0").select("a", "b")
     candidates = written(allowed(short.union(stars).filter("a <> b").distinct(), groups, percent), "candidates")
 
@@ -448,12 +452,14 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
             wanted_ids = F.broadcast(wanted_ids)
         texts = docs.withColumn("_id", id_key()).join(wanted_ids, "_id", "left_semi")
         whole = sets(texts, order, True, percent, text, size).select("node", "keys")
-        whole = written(whole.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("keys").alias("keys")), "whole")
+        whole = written(whole.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("keys").alias("keys")), "whole", tidy=True)
         return written(similar(pairs, whole, percent), "links")
 
     hub = lambda c: hubs_of.select(F.col("prefix").alias(c), F.col("hub").alias(f"hub_{c}"))
     first = candidates.join(hub("a"), "a").join(hub("b"), "b").select(F.col("hub_a").alias("u"), F.col("hub_b").alias("v"))
-    within = members.join(hubs_of, "prefix").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    # only groups of several nodes, so that few rows are repeated for the salts
+    several = members.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).filter("hub <> _top").select("prefix", "hub")
+    within = salted_join(members, several, ["prefix"], ["node"]).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     links = verified(first.union(within))
     label = written(components(links), "labels")
 
@@ -465,14 +471,14 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
         kinds = parts.groupBy("prefix", "part").agg(F.min("node").alias("rep"))
         placed = lists.join(kinds.select(F.col("prefix").alias("a"), F.col("part").alias("part_a")), "a")
         split = placed.groupBy("key").agg(F.min("part_a").alias("p"), F.max("part_a").alias("q"), F.min("n").alias("smallest"), F.max("cap").alias("widest")).filter("p <> q")
-        placed = placed.join(split, "key").filter("cap >= smallest and n <= widest").select("key", "a", "n", "cap", "part_a")
-        placed = written(placed, "mixed")
+        placed = salted_join(placed, split, ["key"], ["a"]).filter("cap >= smallest and n <= widest").select("key", "a", "n", "cap", "part_a")
+        placed = written(placed, "mixed", tidy=True)
         if turn == turns:
             break
         score = F.col("d") if turn == 0 else F.xxhash64(F.lit(turn), "a")
         heads = placed.join(degree, "a").groupBy("key").agg(F.max(F.struct(score.alias("d"), "a", F.col("n").alias("m"), "part_a", "cap")).alias("h"))
         heads = heads.select("key", F.col("h.a").alias("b"), F.col("h.m").alias("m"), F.col("h.part_a").alias("part_b"), F.col("h.cap").alias("cap_b"))
-        met = placed.join(heads, "key").filter(apart & (F.col("a") != F.col("b"))).select("a", "part_a", "b", "part_b").distinct()
+        met = salted_join(placed, heads, ["key"], ["a"]).filter(apart & (F.col("a") != F.col("b"))).select("a", "part_a", "b", "part_b").distinct()
         met = met.join(allowed(met.select("a", "b").distinct(), groups, percent), ["a", "b"])
         rep = lambda c, x: kinds.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("rep").alias(x))  # noqa: E731, B023
         more = verified(met.join(rep("a", "u"), ["a", "part_a"]).join(rep("b", "v"), ["b", "part_b"]).select("u", "v"))
@@ -486,14 +492,14 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     # parts of one group, which are few: its members have one prefix
     inside = kind("a").join(kinds.select(F.col("prefix").alias("a"), F.col("part").alias("part_b")), "a").filter("part_a < part_b").select("a", "part_a", F.col("a").alias("b"), "part_b")
     mixed = placed.select("a").distinct()
-    common_keys = found.filter("kind = 2").select("a", "key").union(often.join(hubs, "key", "left_semi").select("a", "key"))
+    common_keys = found.filter("kind = 2").select("a", "key").union(shared_often.select("a", "key"))
     common_keys = common_keys.join(mixed, "a", "left_semi").groupBy("a").agg(F.collect_set("key").alias("shared"))
     common_keys = written(common_keys, "shared-keys")
     sizes = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("least"))
     few = placed.join(sizes.filter(F.col("c") <= FEW), "key").drop("c")
     many = placed.join(sizes.filter(F.col("c") > FEW).select("key"), "key")
     far = crossed_short(few, common_keys, groups, percent).union(crossed(many, common_keys, groups, percent))
-    far = written(far.distinct(), "far")
+    far = written(far.distinct(), "far", tidy=True)
     far = far.join(allowed(far.select("a", "b").distinct(), groups, percent), ["a", "b"])
     pieces = across.union(inside).unionByName(far).distinct()
     member = lambda c, x: parts.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("node").alias(x))
@@ -501,10 +507,11 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     if not more.isEmpty():
         label = written(components(links.union(more)), "labels")
 
-    keyed = rows.select("_id", "n", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keyed = salted_join(rows.select("_id", "_t", "n", "node"), label, ["node"], ["_id", "_t"], "left").withColumn("label", F.coalesce("label", "node"))
     least = keyed.filter("n > 0").groupBy("label").agg(F.min("_id").alias("least"))
-    out = keyed.join(least, "label", "left")
+    out = salted_join(keyed, least, ["label"], ["_id", "_t"], "left")
     null = lambda c: F.when(c != NULL_ID, c)
     return out.select(
-        null(F.col("_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "node", null(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id"))).alias("component_id")
-    )
+        null(F.col("_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "node", null(F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id"))).alias("component_id"),
+        F.col("_t").alias("text_hash"), F.col("label").alias("component"),
+    )

@@ -16,18 +16,23 @@ from rillstone.sources.scratch import fresh_path
 NULL_ID = -(2**63)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once in the shared folder and read from there: it cuts lineage and outlives executors."""
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """`df`, written once in the shared folder and read from there: it cuts lineage and outlives executors.
+
+    With `tidy`, shuffle files of plans that nothing refers to any more are dropped now, for
+    steps that move about as many bytes as the input has.
+    """
     spark = df.sparkSession
     ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    _tidy(spark)
+    if tidy:
+        _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    """Spark drops a shuffle's files when the driver collects the plan as garbage, which may otherwise be much later."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -60,19 +65,26 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return own.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, by: list[str], how: str = "inner", block: int = 5000, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """`left` joined with `right`, a row of any size for each key: a key of more than `block` rows is dealt to as many tasks as it has blocks.
+def hot_join(pairs: DataFrame, sides: dict[str, DataFrame], block: int = 20_000, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """`pairs`, a written table of two keys, joined on each with its side, a row of any size for each key.
 
-    Keys of so many rows are at most one in `block` of left's rows; they are sent to all
-    executors while they are few (checked), and joined otherwise.
+    A key of more than `block` pairs is dealt, by the other key, to as many tasks as it has
+    blocks, and only such keys' sides are repeated.  Keys of so many rows are at most one in
+    `block` rows; they are sent to all executors while they are few (checked), and joined otherwise.
     """
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
-    hot = written(hot, "hot")
-    number = hot.count()
-    if not number:
-        return left.join(right, key, how)
-    hot = F.broadcast(hot) if number <= broadcast_keys else hot
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    own = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
-    other = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return own.join(other, [key, "_salt"], how).drop("_salt")
+    out, many = pairs, pairs.count() > block
+    for (key, side), other in zip(sides.items(), reversed(sides), strict=True):
+        hot = None
+        if many:
+            counts = pairs.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+            hot = written(counts.select(key, F.ceil(F.col("_n") / block).cast("int").alias("_parts")), "hot")
+            number = hot.count()
+            hot = None if not number else F.broadcast(hot) if number <= broadcast_keys else hot
+        if hot is None:
+            out = out.join(side, key)
+            continue
+        parts = F.coalesce(F.col("_parts"), F.lit(1))
+        own = out.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_parts")
+        side = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        out = own.join(side, [key, "_salt"]).drop("_salt")
+    return out
