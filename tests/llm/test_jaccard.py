@@ -87,3 +87,18 @@ def test_size_bounds_of_very_long_texts(spark, common):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.linked(docs, common=common).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == [(3, 120_000, 3), (5, 155_000, 3), (7, 155_000, 3)]
+
+
+def test_hot_keys_are_dealt(spark):
+    """Pairs of one hub in blocks give the same as a plain join."""
+    from rillstone.llm.shared import hot_join, salted_join, written
+
+    rows = [(0, i) for i in range(1, 300)] + [(i, 400) for i in range(350)] + [(i, i + 1) for i in range(500, 560)]
+    pairs = written(spark.createDataFrame(rows, "u long, v long"), "pairs")
+    nodes = spark.range(600).selectExpr("id", "id * 2 as x")
+    side = lambda c: nodes.select(nodes["id"].alias(c), nodes["x"].alias(f"x_{c}"))
+    want = sorted((u, v, 2 * u, 2 * v) for u, v in rows)
+    for block, few in ((10_000, 9), (20, 9), (20, 0)):
+        found = hot_join(pairs, {"u": side("u"), "v": side("v")}, block, few).select("u", "v", "x_u", "x_v").collect()
+        assert sorted(map(tuple, found)) == want
+    assert sorted(map(tuple, salted_join(pairs, side("u"), ["u"], ["v"]).select("u", "v", "x_u").collect())) == sorted(r[:3] for r in want)

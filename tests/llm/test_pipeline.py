@@ -78,3 +78,51 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id long, _score double, _t string, n_lines int, _hash long, _row int"
+
+
+def odd(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties, equal and different texts of one id, and clashing names."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "z"])
+    whole, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    texts = [(5, whole), (5, whole), (5, near), (7, whole), (8, near), (9, other), (9, other), (3, None), (3, None), (None, other), (None, None), (4, ""), (6, "a\nb\nc"), (6, "a\nb\nc"), (10, "a\nb\nc\nd")]
+    rows = [(d, t, [None, "en"][i % 2], None, i, 1, 0.5, "t", 3, 4, 5) for i, (d, t) in enumerate(texts)]
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, other), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet"), texts
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    docs, texts = odd(spark, tmp_path)
+    stage = dict(corpus_pipeline.STAGES)
+    found = {}
+    for name in [n for n, _ in corpus_pipeline.STAGES][:-1]:
+        out = stage[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found[name] = sorted(((r["doc_id"], r["text"], r["_id"], r["n_lines"], r["_t"]) for r in out.collect()), key=repr)
+        empty = stage[name](spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+    rest = (1, 3, "t")
+    every = sorted(((d, t, *rest) for d, t in texts), key=repr)
+    assert found["toxicity"] == every
+    lines_gone = {(10, "a\nb\nc\nd"): "d"}
+    assert found["line dedup"] == sorted(((d, lines_gone.get((d, t), t), *rest) for d, t in texts), key=repr)
+    # least id of each group: one of the rows of 5; the null id for the texts of 9; rows without words stay
+    kept = found["n-gram Jaccard join"]
+    assert [d for d, *_ in kept if d == 5] == [5] and not [d for d, *_ in kept if d in (7, 8, 9)]
+    assert [t for d, t, *_ in kept if d is None and t] == [texts[5][1]]
+    assert sum(not t for _, t, *_ in kept) == 4 and [d for d, t, *_ in kept if t == "a\nb\nc"] == [6]
+    assert found["benchmark decontamination"] == sorted(((d, t, *rest) for d, t in texts if d not in (9, None)), key=repr)
+
+
+def test_run_of_odd_and_empty_tables(spark, tmp_path):
+    docs, _ = odd(spark, tmp_path)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {3, 4, 5, 6, 10}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
