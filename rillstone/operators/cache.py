@@ -129,3 +129,50 @@ def stats(flags: DataFrame, capacity: int) -> DataFrame:
         F.lit(capacity).alias("capacity"),
         F.round(100 * size / capacity, 2).alias("fill"),
     )
+
+
+#: What `operated` takes as operations.
+OPERATIONS = ("get", "put", "contains", "reset", "clear")
+
+
+def operated(trace: DataFrame, capacity: int, op: str = "op", key: str = "item", seq: str = "seq") -> DataFrame:
+    """(seq, op, key, answer, evicted, size, hits, misses) of one cache that is operated in the order of seq.
+
+    `get` answers whether the key is there, and refreshes it; `contains` only answers; `put`
+    answers whether the key was there, refreshes or stores it, and may evict the key that was
+    used least recently; `reset` sets hits and misses, which `get` counts, to 0; `clear` empties
+    the cache too.  Another operation is an error.  One cache is one stream, in memory of its
+    capacity.
+    """
+    _check(capacity)
+    ship(trace.sparkSession)
+    rows = trace.select(F.col(seq).alias("_seq"), F.col(op).alias("_op"), F.col(key).alias("_key"))
+    kinds = dict(rows.dtypes)
+    schema = f"`{seq}` {kinds['_seq']}, `{op}` string, `{key}` {kinds['_key']}, answer boolean, evicted {kinds['_key']}, size long, hits long, misses long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, hits, misses = OrderedDict(), 0, 0
+        for batch in batches:
+            out = []
+            for what, k in zip(batch["_op"], batch["_key"], strict=True):
+                if what not in OPERATIONS:
+                    raise ValueError(f"unknown operation {what}")
+                answer, gone = k in held, None
+                if what in ("reset", "clear"):
+                    hits = misses = 0
+                    answer = None
+                    if what == "clear":
+                        held.clear()
+                elif what == "get":
+                    hits, misses = hits + answer, misses + (not answer)
+                if what in ("get", "put") and answer:
+                    held.move_to_end(k)
+                elif what == "put":
+                    if len(held) >= capacity:
+                        gone = held.popitem(last=False)[0]
+                    held[k] = None
+                out.append((answer, gone, len(held), hits, misses))
+            named = batch.rename(columns={"_seq": seq, "_op": op, "_key": key}).reset_index(drop=True)
+            yield pd.concat([named, pd.DataFrame(out, columns=["answer", "evicted", "size", "hits", "misses"], dtype=object)], axis=1)
+
+    return rows.repartition(1).sortWithinPartitions("_seq").mapInPandas(run, schema)

@@ -68,6 +68,12 @@ def drained(events: DataFrame, priority: str = "priority", ts: str = "ts", seq:
     return numbered(events, F.unix_micros(F.col(ts).cast("timestamp")), [ts, seq], name, lead=[priority])
 
 
+def drained_graded(events: DataFrame, priority: str = "priority", seq: str = "seq", name: str = "position") -> DataFrame:
+    """Events with their position, from 1: the highest priority first, then by seq."""
+    rows = events.withColumn("_urgent", -F.col(priority))
+    return numbered(rows, F.col(seq), [seq], name, lead=["_urgent"]).drop("_urgent")
+
+
 def first_served(events: DataFrame, n: int = 10, priority: str = "priority", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """The next `n` events: a top-k, without a full sort."""
     if n < 0:

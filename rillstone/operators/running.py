@@ -14,6 +14,29 @@ def dedup_key(user: Column, item: Column, ts: Column, seconds: int = 60) -> Colu
     return F.concat_ws(":", user.cast("string"), item.cast("string"), F.floor(F.unix_seconds(ts) / seconds).cast("string"))
 
 
+def normalised_token(token: Column) -> Column:
+    """A token in small letters, without white space at its ends."""
+    return F.lower(F.regexp_replace(token, r"^\s+|\s+$", ""))
+
+
+def normalised_source(source: Column) -> Column:
+    """An address without white space at its ends."""
+    return F.regexp_replace(source, r"^\s+|\s+$", "")
+
+
+def cumulative_weights(ranked: DataFrame, rank: str, weight: str, name: str = "cumulative", block: int = 1000) -> DataFrame:
+    """`ranked` (its rank from 1) with the share of all weight up to each row.
+
+    Blocks of ranks are summed up first, so no task takes all rows.
+    """
+    rows = ranked.withColumn("_block", F.floor((F.col(rank) - 1) / block))
+    blocks = rows.groupBy("_block").agg(F.sum(weight).alias("_sum"))
+    total = Window.orderBy("_block")
+    blocks = blocks.select("_block", (F.sum("_sum").over(total) - F.col("_sum")).alias("_before"), F.sum("_sum").over(total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    within = F.sum(weight).over(Window.partitionBy("_block").orderBy(rank))
+    return rows.withColumn("_within", within).join(blocks, "_block").withColumn(name, (F.col("_before") + F.col("_within")) / F.col("_all")).select(*ranked.columns, name)
+
+
 def running_count(events: DataFrame, key: str, seq: str = "seq", name: str = "running") -> DataFrame:
     """Events with their key's count so far, themselves included."""
     return events.withColumn(name, F.count("*").over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))

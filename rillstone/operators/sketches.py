@@ -22,13 +22,14 @@ def _check(width: int, depth: int) -> None:
         raise ValueError("width and depth are positive")
 
 
-def cms_slots(item: Column, width: int, depth: int) -> Column:
-    """An item's (row, col) in every row of the sketch."""
+def cms_slots(item: Column, width: int, depth: int, seeds: list[int] | None = None) -> Column:
+    """An item's (row, col) in every row of the sketch; `seeds`, one a row, make another family of hashes."""
     _check(width, depth)
-    return F.array(*[F.struct(F.lit(r).alias("row"), slot(row_seed(r), item, width).alias("col")) for r in range(depth)])
+    seeds = seeds or [row_seed(r) for r in range(depth)]
+    return F.array(*[F.struct(F.lit(r).alias("row"), slot(seed, item, width).alias("col")) for r, seed in enumerate(seeds[:depth])])
 
 
-def cms_cells(updates: DataFrame, item: str, width: int = 1000, depth: int = 5, count: str | None = None, by: list[str] | None = None) -> DataFrame:
+def cms_cells(updates: DataFrame, item: str, width: int = 1000, depth: int = 5, count: str | None = None, by: list[str] | None = None, seeds: list[int] | None = None) -> DataFrame:
     """(row, col, n) of the cells that aren't 0; with `by`, a sketch for each of its values.
 
     Items are counted before they are hashed, so each distinct item is hashed once.
@@ -36,7 +37,7 @@ def cms_cells(updates: DataFrame, item: str, width: int = 1000, depth: int = 5,
     by = by or []
     n = F.count("*") if count is None else F.sum(count)
     exact = updates.groupBy(*by, item).agg(n.cast("long").alias("_n"))
-    cells = exact.select(*by, "_n", F.inline(cms_slots(F.col(item), width, depth)))
+    cells = exact.select(*by, "_n", F.inline(cms_slots(F.col(item), width, depth, seeds)))
     return cells.groupBy(*by, "row", "col").agg(F.sum("_n").cast("long").alias("n"))
 
 
@@ -119,15 +120,16 @@ def bloom_flags(events: DataFrame, item: str, bits: int, hashes: int, seq: str =
     """Events flagged as a filter that is asked, then fed, one by one would flag them.
 
     An event is flagged if each of its bits was first set by an earlier event.  That holds for
-    false positives too, as an event that is flagged sets no new bit.
+    false positives too, as an event that is flagged sets no new bit.  An event without an item
+    stays, and is never flagged.
     """
-    marked = events.withColumn("_bits", F.array_distinct(bloom_slots(F.col(item), bits, hashes)))
+    marked = events.filter(F.col(item).isNotNull())
     # an item's bits were first set by its own first event or by another item: items stand for events
     items = marked.groupBy(item).agg(F.min(seq).alias("_first"))
     touched = items.select(item, "_first", F.explode(F.array_distinct(bloom_slots(F.col(item), bits, hashes))).alias("_bit"))
     firsts = touched.groupBy("_bit").agg(F.min("_first").alias("_set"))
     latest = touched.join(firsts, "_bit").groupBy(item).agg(F.max("_set").alias("_complete"))
-    return events.join(latest, item).withColumn(name, F.col("_complete") < F.col(seq)).select(*events.columns, name)
+    return events.join(latest, item, "left").withColumn(name, F.coalesce(F.col("_complete") < F.col(seq), F.lit(False))).select(*events.columns, name)
 
 
 def exact_flags(events: DataFrame, item: str, seq: str = "seq", name: str = "duplicate") -> DataFrame:

@@ -102,3 +102,13 @@ def recommendations(served: DataFrame, settings: Settings, k: int = 10, threshol
     pairs = similarity.both_ways(similarity.similar(signed, settings.hashes, settings.bands, threshold))
     pairs = pairs.join(large.select(F.col("item").alias("other")), "other", "left_semi")
     return top_k_per_group(pairs, ["item"], [F.desc("similarity"), F.col("other")], k).select("item", "rank", "other", "similarity")
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, value) from tables of one row of numbers each."""
+    out = None
+    for section, row in sections.items():
+        values = row.select(*[F.col(c).cast("double").alias(c) for c in row.columns]).unpivot([], row.columns, "name", "value")
+        part = values.select(F.lit(section).alias("section"), "name", "value")
+        out = part if out is None else out.unionByName(part)
+    return out

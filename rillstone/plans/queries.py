@@ -142,14 +142,27 @@ def queue_depth_by_user(spark, sf_dir):
     return running.queue_depth(rows, F.when(F.col("event_type") == "signup", -1).otherwise(1), "order", ["user_id"]).select("event_id", "depth")
 
 
-@query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second", ctes="")
+_DRAINED = f"SELECT event_id, row_number() OVER (ORDER BY {_CORE}, ts, event_id) AS position FROM ev"
+
+
+@query(f"SELECT structure, count(*) AS served, CAST(sum(position * (event_id % 1009)) AS BIGINT) AS checksum FROM ({_DRAINED}), (VALUES ('quantile bins'), ('other bins')) s(structure) GROUP BY structure")
 def queue_consistency(spark, sf_dir):
-    """Two ways to drain the queue serve each event at the same position."""
-    rows = _prioritized(spark, sf_dir)
-    one = ranking.drained(rows).select("event_id", "position")
-    two = ranking.numbered(rows, F.col("seq"), ["seq"], "position", lead=["priority"]).select("event_id", "position")
-    left = one.exceptAll(two).agg(F.count("*").alias("only_first"))
-    return left.crossJoin(two.exceptAll(one).agg(F.count("*").alias("only_second")))
+    """Two ways to drain the queue, by different bins and keys, serve every event at the same position."""
+    one = ranking.drained(_prioritized(spark, sf_dir)).select(F.lit("quantile bins").alias("structure"), "event_id", "position")
+    rows = _events(spark, sf_dir).withColumn("priority", ranking.core_priority(_kind(), _premium()))
+    two = ranking.numbered(rows, F.unix_micros("ts"), ["ts", "event_id"], "position", lead=["priority"], bins=37).select(F.lit("other bins").alias("structure"), "event_id", "position")
+    return one.union(two).groupBy("structure").agg(F.count("*").alias("served"), F.sum(F.col("position") * (F.col("event_id") % 1009)).alias("checksum"))
+
+
+_GRADED = "CASE WHEN event_type = 'purchase' THEN 4 WHEN user_id % 3 = 0 AND event_type = 'view' THEN 3 WHEN event_type = 'click' THEN 2 ELSE 1 END"
+
+
+@query(f"SELECT event_id, {_GRADED} AS priority, row_number() OVER (ORDER BY {_GRADED} DESC, seq) AS position FROM ev")
+def priority_graded_drain(spark, sf_dir):
+    """The second queue: the highest priority first, then the first that came."""
+    kind = F.when(F.col("event_type") == "view", "play").when(F.col("event_type") == "click", "search").otherwise(_kind())
+    rows = _sequence(spark, sf_dir).withColumn("priority", ranking.graded_priority(kind, _premium()))
+    return ranking.drained_graded(rows).select("event_id", "priority", "position")
 
 
 @query("SELECT seq, event_id FROM ev ORDER BY seq DESC LIMIT 12")
@@ -320,6 +333,15 @@ def cms_errors(spark, sf_dir):
     return sketches.cms_errors(sketches.cms_estimates(events, _cells(spark, sf_dir), "item", WIDTH, DEPTH), exact, "item")
 
 
+_WIDE = ", ".join(f"({r}, '{17 + 131 * r}')" for r in range(7))
+
+
+@query(f"SELECT row, {_slot('seed', 'item', 5000)} AS col, CAST(sum(n) AS BIGINT) AS n FROM exact, (VALUES {_WIDE}) w(row, seed) GROUP BY ALL", _CELLS)
+def cms_wide(spark, sf_dir):
+    """The second sketch: 5,000 by 7 cells, with seeds of its own."""
+    return sketches.cms_cells(_events(spark, sf_dir), "item", 5000, 7, seeds=[17 + 131 * r for r in range(7)])
+
+
 @query(f"SELECT hour, row, {_slot('seed', 'item', WIDTH)} AS col, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS hour, item FROM ev), {_ROWS} GROUP BY ALL")
 def cms_by_hour(spark, sf_dir):
     """A sketch that starts anew each hour."""
@@ -332,49 +354,65 @@ def cms_stats(spark, sf_dir):
     return sketches.cms_stats(_events(spark, sf_dir), "item", WIDTH, DEPTH)
 
 
+_ERROR = 0.01
 _BLOOM = f"""hashes AS (SELECT unnest(range({HASHES})) AS i),
-  bits AS (SELECT DISTINCT {_slot("i", "c_custkey", BITS)} AS bit FROM customer, hashes WHERE c_custkey <= 1000)"""
+  size AS (SELECT CAST(ceil(-count(*) * ln({_ERROR}) / pow(ln(2), 2)) AS BIGINT) AS m FROM customer),
+  bits AS (SELECT DISTINCT {_slot("i", "c_custkey", "(SELECT m FROM size)::UBIGINT")} AS bit FROM customer, hashes),
+  asked AS (SELECT c_custkey FROM customer UNION ALL SELECT -1 - c_custkey FROM customer)"""
 
 
-def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.bloom_bits(table(spark, sf_dir, "customer").filter("c_custkey <= 1000"), "c_custkey", BITS, HASHES)
+def _filter(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int, int]:
+    """The bits of a filter of all customers, made for their number; its capacity, bits and hash functions."""
+    customers = table(spark, sf_dir, "customer")
+    capacity = customers.count()
+    bits, hashes = bloom_size(capacity, _ERROR)
+    return sketches.bloom_bits(customers, "c_custkey", bits, hashes), capacity, bits, hashes
+
+
+def _strangers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many ids as there are customers, none of which is one."""
+    return table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("c_custkey"))
 
 
 @query("SELECT bit FROM bits", _BLOOM)
 def bloom_bits(spark, sf_dir):
-    return _bits(spark, sf_dir)
+    return _filter(spark, sf_dir)[0]
 
 
 @query("SELECT count(*) AS bits FROM bits", _BLOOM)
 def bloom_packed(spark, sf_dir):
-    return sketches.bloom_packed(_bits(spark, sf_dir)).agg(F.sum(F.bitmap_count("bitmap")).alias("bits"))
+    return sketches.bloom_packed(_filter(spark, sf_dir)[0]).agg(F.sum(F.bitmap_count("bitmap")).alias("bits"))
 
 
-@query(f"SELECT c_custkey, count(b.bit) = {HASHES} AS contained FROM customer CROSS JOIN hashes LEFT JOIN bits b ON b.bit = {_slot('i', 'c_custkey', BITS)} GROUP BY c_custkey", _BLOOM)
+@query(f"SELECT c_custkey, count(b.bit) = {HASHES} AS contained FROM asked CROSS JOIN hashes LEFT JOIN bits b ON b.bit = {_slot('i', 'c_custkey', '(SELECT m FROM size)::UBIGINT')} GROUP BY c_custkey", _BLOOM)
 def bloom_contains(spark, sf_dir):
-    return sketches.bloom_contains(table(spark, sf_dir, "customer"), _bits(spark, sf_dir), "c_custkey", BITS, HASHES)
+    """All customers are contained, and some strangers."""
+    found, _, bits, hashes = _filter(spark, sf_dir)
+    asked = table(spark, sf_dir, "customer").select("c_custkey").union(_strangers(spark, sf_dir))
+    return sketches.bloom_contains(asked, found, "c_custkey", bits, hashes)
 
 
 @query(
     f"""SELECT round(avg(CASE WHEN contained THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (
-    SELECT c_custkey, count(b.bit) = {HASHES} AS contained FROM customer CROSS JOIN hashes LEFT JOIN bits b ON b.bit = {_slot("i", "c_custkey", BITS)}
-    WHERE c_custkey > 1000 GROUP BY c_custkey)""",
+    SELECT c_custkey, count(b.bit) = {HASHES} AS contained FROM asked CROSS JOIN hashes LEFT JOIN bits b ON b.bit = {_slot("i", "c_custkey", "(SELECT m FROM size)::UBIGINT")}
+    WHERE c_custkey < 0 GROUP BY c_custkey)""",
     _BLOOM,
 )
 def bloom_false_positives(spark, sf_dir):
-    others = table(spark, sf_dir, "customer").filter("c_custkey > 1000")
-    flags = sketches.bloom_contains(others, _bits(spark, sf_dir), "c_custkey", BITS, HASHES)
+    found, _, bits, hashes = _filter(spark, sf_dir)
+    flags = sketches.bloom_contains(_strangers(spark, sf_dir), found, "c_custkey", bits, hashes)
     return flags.agg(F.round(F.avg(F.col("contained").cast("double")), 6).alias("rate"))
 
 
 @query(
-    f"""SELECT {BITS} AS bits, {HASHES} AS hashes, {(BITS + 7) // 8} AS bytes, (SELECT count(*) FROM customer WHERE c_custkey <= 1000) AS adds,
-    round((SELECT count(*) FROM bits) / {BITS}, 6) AS fill,
-    round(pow(1 - exp(-{HASHES}.0 * (SELECT count(*) FROM customer WHERE c_custkey <= 1000) / {BITS}), {HASHES}), 6) AS false_positive_rate""",
+    f"""SELECT m AS bits, {HASHES} AS hashes, (m + 7) // 8 AS bytes, (SELECT count(*) FROM customer) AS adds,
+    round((SELECT count(*) FROM bits) / m, 6) AS fill,
+    round(pow(1 - exp(-{HASHES}.0 * (SELECT count(*) FROM customer) / m), {HASHES}), 6) AS false_positive_rate FROM size""",
     _BLOOM,
 )
 def bloom_info(spark, sf_dir):
-    return sketches.bloom_info(table(spark, sf_dir, "customer").filter("c_custkey <= 1000"), "c_custkey", 1000, 0.01)
+    customers = table(spark, sf_dir, "customer")
+    return sketches.bloom_info(customers, "c_custkey", customers.count(), _ERROR)
 
 
 _DUP_BITS, _DUP_HASHES = 20_000, 4
@@ -396,19 +434,39 @@ def bloom_flags(spark, sf_dir):
     return sketches.bloom_flags(_tokens(spark, sf_dir), "token", _DUP_BITS, _DUP_HASHES).select("event_id", "duplicate")
 
 
+@query(
+    f""", t AS (SELECT seq, event_id, {_slot("i", "token", 200_000)} AS bit FROM tok, (SELECT unnest(range(7)) AS i)),
+    f AS (SELECT bit, min(seq) AS first FROM t GROUP BY bit)
+    SELECT event_id, max(first) < min(seq) AS duplicate FROM t JOIN f USING (bit) GROUP BY event_id""",
+    _TOKENS,
+)
+def bloom_flags_wide(spark, sf_dir):
+    """The second filter: 200,000 bits and 7 hash functions."""
+    return sketches.bloom_flags(_tokens(spark, sf_dir), "token", 200_000, 7).select("event_id", "duplicate")
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY token ORDER BY seq) > 1 AS duplicate FROM tok", _TOKENS)
 def exact_flags(spark, sf_dir):
     return sketches.exact_flags(_tokens(spark, sf_dir), "token").select("event_id", "duplicate")
 
 
-@query("SELECT DISTINCT event_type FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM events) / 4)", ctes="")
+@query("SELECT event_type FROM events GROUP BY event_type HAVING count(*) > (SELECT count(*) FROM events) / 8", ctes="")
 def misra_gries_survivors(spark, sf_dir):
-    """Items above N / 4 always survive; exact counts then drop the others."""
-    events = table(spark, sf_dir, "events")
-    found = sketches.misra_gries(events, "event_type", 4)
-    counts = events.join(F.broadcast(found.select("event_type")), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Items above N / 8 always survive; exact counts then drop the others."""
+    return _heavy(table(spark, sf_dir, "events"), "event_type", 8)
+
+
+@query("SELECT item FROM ev GROUP BY item HAVING count(*) > (SELECT count(*) FROM ev) / 110")
+def misra_gries_heavy(spark, sf_dir):
+    return _heavy(_events(spark, sf_dir), "item", 110)
+
+
+def _heavy(events: DataFrame, item: str, k: int) -> DataFrame:
+    """Items above N / k, counted exactly among those that a summary of k counters has kept."""
+    found = sketches.misra_gries(events, item, k)
+    counts = events.join(F.broadcast(found.select(item)), item, "left_semi").groupBy(item).agg(F.count("*").alias("n"))  # k rows at most
     total = events.agg(F.count("*").alias("all"))
-    return counts.crossJoin(F.broadcast(total)).filter("n > all / 4").select("event_type")  # one row
+    return counts.crossJoin(F.broadcast(total)).filter(f"n > all / {k}").select(item)  # one row
 
 
 @query()
@@ -447,6 +505,22 @@ def anomalies(spark, sf_dir):
     return found.join(rows.select("seq", "event_id"), "seq").select("event_id", "duplicate", "exact", "estimate", "anomalous")
 
 
+@query("SELECT event_id, lower(trim('  ' || upper(event_type) || ':' || user_id || ' ')) AS token, trim(' 10.0.' || user_id || ' ') AS source FROM events", ctes="")
+def normalised_tokens(spark, sf_dir):
+    """Tokens without white space at their ends, in small letters; addresses without white space."""
+    raw = F.concat(F.lit("  "), F.upper("event_type"), F.lit(":"), F.col("user_id").cast("string"), F.lit(" "))
+    source = F.concat(F.lit(" 10.0."), F.col("user_id").cast("string"), F.lit(" "))
+    return table(spark, sf_dir, "events").select("event_id", running.normalised_token(raw).alias("token"), running.normalised_source(source).alias("source"))
+
+
+@query("SELECT item, rank, round(sum(1.0 / rank) OVER (ORDER BY rank) / sum(1.0 / rank) OVER (), 9) AS cumulative FROM (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS rank FROM exact)", _CELLS)
+def cumulative_weights(spark, sf_dir):
+    """Zipf's weights of the items in the order of their counts, summed up."""
+    counts = _events(spark, sf_dir).groupBy("item").agg(F.count("*").alias("n"))
+    ranked = ranking.numbered(counts, -F.col("n"), [F.desc("n"), F.col("item")], "rank").withColumn("weight", 1 / F.col("rank").cast("double"))
+    return running.cumulative_weights(ranked, "rank", "weight").select("item", "rank", F.round("cumulative", 9).alias("cumulative"))
+
+
 # -- caches -----------------------------------------------------------------------------------
 
 _TRACE = f"""{EVENTS}, v AS (SELECT seq, event_id, item, lag(seq) OVER (PARTITION BY item ORDER BY seq) AS prev FROM ev WHERE event_type = 'view'),
@@ -620,15 +694,14 @@ def audience_intersection(spark, sf_dir):
 # -- the play pipeline ------------------------------------------------------------------------
 
 _PLAYS = f"""{_TOKENS}, f AS (SELECT seq, event_id, user_id, item, row_number() OVER (PARTITION BY token ORDER BY seq) > 1 AS dup,
-    item IN (SELECT p_partkey FROM part WHERE p_partkey <= 90) AS known FROM ev JOIN tok USING (seq, event_id) WHERE event_type = 'view'),
+    item IN (SELECT p_partkey FROM part) AS known FROM ev JOIN tok USING (seq, event_id) WHERE event_type = 'view'),
   s AS (SELECT seq, item, lag(seq) OVER (PARTITION BY item ORDER BY seq) AS prev FROM f WHERE NOT dup AND known),
   h AS (SELECT seq, prev IS NOT NULL AND (SELECT count(DISTINCT o.item) FROM s o WHERE o.seq > s.prev AND o.seq < s.seq) < {CACHE} AS hit FROM s),
   plays AS (SELECT f.*, CASE WHEN dup THEN 'duplicate' WHEN NOT known THEN 'unknown' WHEN hit THEN 'hit' ELSE 'miss' END AS outcome FROM f LEFT JOIN h USING (seq))"""
 
 
 def _served(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    known = _items(spark, sf_dir).filter("item <= 90")
-    return pipeline.outcomes(_sequence(spark, sf_dir), known, pipeline.Settings(cache_capacity=CACHE, bucket=DAY, **options))
+    return pipeline.outcomes(_sequence(spark, sf_dir), _items(spark, sf_dir), pipeline.Settings(cache_capacity=CACHE, bucket=DAY, **options))
 
 
 @query("SELECT event_id, item, outcome FROM plays", _PLAYS)
@@ -690,15 +763,9 @@ def stream_cache(spark, sf_dir):
     return streams.cache_hits(_views(spark, sf_dir), CACHE)
 
 
-@query("SELECT tipo, n FROM (VALUES ('premium', 1), ('standard', 1)) t(tipo, n)", ctes="")
+@query()
 def generated_users(spark, sf_dir):
-    """Both kinds of users come in about their shares, with 2 to 5 distinct genres."""
-    users = generators.users(spark, 2000)
-    share = F.count("*") / 2000
-    ok = F.every((F.size("generos_favoritos").between(2, 5)) & (F.size(F.array_distinct("generos_favoritos")) == F.size("generos_favoritos")) & F.col("edad").between(16, 65))
-    told = users.groupBy("tipo").agg(share.alias("s"), ok.alias("ok"))
-    near = F.abs(F.col("s") - F.when(F.col("tipo") == "premium", 0.35).otherwise(0.65)) < 0.05
-    return told.select("tipo", (near & F.col("ok")).cast("int").alias("n"))
+    return generators.users(spark, 2000)
 
 
 @query()
@@ -736,14 +803,12 @@ def generated_histories(spark, sf_dir):
     return generators.watch_histories(spark)
 
 
-@query("SELECT 600::BIGINT AS titles, 0::BIGINT AS unanswered", ctes="")
+@query()
 def generated_titles_and_prefixes(spark, sf_dir):
-    """Every generated prefix of a generated title finds a title."""
+    """Suggestions for generated beginnings of generated titles."""
     titles = generators.catalogue_titles(spark, 600)
     found = prefix.catalogue(titles.select("title", F.lit(1).alias("popularity"), F.lit(0).alias("seq")))
-    asked = generators.prefix_queries(titles).distinct()
-    unanswered = asked.join(prefix.suggestions(asked, found, 1), "query", "left_anti").agg(F.count("*").alias("unanswered"))
-    return titles.agg(F.count("*").alias("titles")).crossJoin(unanswered)  # two single rows
+    return prefix.suggestions(generators.prefix_queries(titles, 300), found, 3)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer", ctes="")
@@ -776,6 +841,54 @@ def cache_report(spark, sf_dir):
     return row.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "name", "value")
 
 
+@query("SELECT round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM h", _TRACE)
+def cache_fraction(spark, sf_dir):
+    """The hit rate as a fraction of 1."""
+    row = cache.stats(cache.replay(_views(spark, sf_dir), CACHE), CACHE)
+    return row.select(F.round(F.col("hits") / F.col("requests"), 6).alias("hit_rate"))
+
+
+@query(
+    f""", ops AS (SELECT seq, item, CASE WHEN seq % 3 = 0 THEN 'put' ELSE 'contains' END AS op FROM ev WHERE item IS NOT NULL),
+    p AS (SELECT seq, item, lag(seq) OVER (PARTITION BY item ORDER BY seq) AS prev FROM ops WHERE op = 'put'),
+    gone AS (SELECT p.item, p.seq AS put, lead(p.seq) OVER (PARTITION BY p.item ORDER BY p.seq) AS again FROM p)
+    SELECT o.seq, o.op, o.item, coalesce(g.put IS NOT NULL AND (SELECT count(DISTINCT x.item) FROM p x WHERE x.seq > g.put AND x.seq < o.seq) < {CACHE}, false) AS answer
+    FROM ops o LEFT JOIN gone g ON g.item = o.item AND g.put < o.seq AND (g.again IS NULL OR g.again >= o.seq)"""
+)
+def cache_operations(spark, sf_dir):
+    """Puts, and looks that don't refresh: whether the item was there."""
+    trace = _sequence(spark, sf_dir).filter("item is not null").select("seq", F.when(F.col("seq") % 3 == 0, "put").otherwise("contains").alias("op"), "item")
+    return cache.operated(trace, CACHE).select("seq", "op", "item", "answer")
+
+
+@query(
+    f""", c AS (SELECT lower(p_name) AS key, sum(p_size) AS popularity FROM part GROUP BY 1)
+    SELECT 'cache' AS section, 'hits' AS name, CAST(count(*) FILTER (hit) AS DOUBLE) AS value FROM h UNION ALL SELECT 'cache', 'misses', count(*) FILTER (NOT hit) FROM h
+    UNION ALL SELECT 'cache', 'capacity', {CACHE} UNION ALL SELECT 'cache', 'size', least({CACHE}, count(DISTINCT item)) FROM h
+    UNION ALL SELECT 'sketch', 'updates', count(*) FROM ev UNION ALL SELECT 'sketch', 'items', count(DISTINCT item) FROM ev UNION ALL SELECT 'sketch', 'cells', {WIDTH * DEPTH}
+    UNION ALL SELECT 'filter', 'adds', count(DISTINCT user_id) FROM ev UNION ALL SELECT 'filter', 'bits', {BITS} UNION ALL SELECT 'filter', 'hashes', {HASHES}
+    UNION ALL SELECT 'prefixes', 'titles', count(*) FROM c UNION ALL SELECT 'prefixes', 'popularity', sum(popularity) FROM c
+    UNION ALL SELECT 'similarity', 'items', count(DISTINCT item) FROM ev WHERE item IS NOT NULL AND user_id IS NOT NULL UNION ALL SELECT 'similarity', 'hashes', 100 UNION ALL SELECT 'similarity', 'bands', 20""",
+    _TRACE,
+)
+def platform_report(spark, sf_dir):
+    """Statistics of every part of the platform, as rows of a section, a name and a value."""
+    events = _events(spark, sf_dir)
+    played = cache.stats(cache.replay(_views(spark, sf_dir), CACHE), CACHE)
+    filled = sketches.bloom_info(events.select("user_id").distinct(), "user_id", 1000, _ERROR)
+    titles = _catalogue(spark, sf_dir).agg(F.count("*").alias("titles"), F.sum("popularity").alias("popularity"))
+    signed = similarity.lsh_stats(similarity.signatures(_sets(spark, sf_dir)))
+    return pipeline.report(
+        {
+            "cache": played.select("hits", "misses", "capacity", "size"),
+            "sketch": sketches.cms_stats(events, "item", WIDTH, DEPTH).select("updates", "items", "cells"),
+            "filter": filled.select("adds", "bits", "hashes"),
+            "prefixes": titles,
+            "similarity": signed.select("items", "hashes", "bands"),
+        }
+    )
+
+
 @query("SELECT p_name, count(*) AS parts FROM part GROUP BY p_name EXCEPT SELECT p_name, count(*) FROM part WHERE p_size > 25 GROUP BY p_name", ctes="")
 def catalogue_difference(spark, sf_dir):
     """Set difference of two counted catalogues."""
@@ -784,8 +897,7 @@ def catalogue_difference(spark, sf_dir):
     return counted(parts).subtract(counted(parts.filter("p_size > 25")))
 
 
-@query("SELECT item FROM exact EXCEPT SELECT p_partkey FROM part WHERE p_partkey <= 90", _CELLS)
-def unknown_items(spark, sf_dir):
-    """Items of events that the catalogue lacks."""
-    known = _items(spark, sf_dir).filter("item <= 90")
-    return _events(spark, sf_dir).select("item").distinct().join(known, "item", "left_anti")
+@query("SELECT CAST(p_partkey AS INTEGER) AS item FROM part EXCEPT SELECT item FROM exact", _CELLS)
+def unplayed_items(spark, sf_dir):
+    """Items of the catalogue that no event has."""
+    return _items(spark, sf_dir).select("item").distinct().join(_events(spark, sf_dir).select("item"), "item", "left_anti")

@@ -20,17 +20,30 @@ def frame(spark, rows, schema):
 # -- priorities -------------------------------------------------------------------------------
 
 
+def queue(spark, seed, n):
+    r = random.Random(seed)
+    rows = [(f"p{i}", r.randrange(4), 50.0 + r.randrange(6), i) for i in range(n)]
+    return rows, frame(spark, rows, "user string, priority int, t double, seq long").withColumn("ts", F.timestamp_seconds("t")).repartition(3)
+
+
 def test_drain_order(spark):
-    rows = [("u3", 2, 1.0, 0), ("u1", 0, 2.0, 1), ("u2", 1, 3.0, 2)]
-    events = frame(spark, rows, "user string, priority int, t double, seq long").withColumn("ts", F.timestamp_seconds("t"))
+    rows, events = queue(spark, 31, 120)
     got = ranking.drained(events).orderBy("position").select("user", "position").collect()
-    assert [tuple(r) for r in got] == [("u1", 1), ("u2", 2), ("u3", 3)]
+    want = sorted(rows, key=lambda x: (x[1], x[2], x[3]))
+    assert [tuple(r) for r in got] == [(x[0], i + 1) for i, x in enumerate(want)]
+
+
+def test_graded_drain_order(spark):
+    rows, events = queue(spark, 32, 90)
+    got = ranking.drained_graded(events).orderBy("position").select("user", "position").collect()
+    want = sorted(rows, key=lambda x: (-x[1], x[3]))
+    assert [tuple(r) for r in got] == [(x[0], i + 1) for i, x in enumerate(want)]
 
 
 def test_equal_priorities_are_first_in_first_out(spark):
-    rows = [(f"u{i}", 2, 100.0 + i / 1000, i) for i in range(5)]
+    rows = [(f"w{7 - i}", 1, 9.5, i) for i in range(8)]
     events = frame(spark, rows, "user string, priority int, t double, seq long").withColumn("ts", F.timestamp_seconds("t"))
-    assert [r[0] for r in ranking.first_served(events, 5).select("user").collect()] == [f"u{i}" for i in range(5)]
+    assert [r[0] for r in ranking.first_served(events, 6).select("user").collect()] == [f"w{7 - i}" for i in range(6)]
 
 
 @pytest.mark.parametrize("bins", [1, 3, 50])
@@ -104,6 +117,36 @@ def test_bad_capacity(spark, capacity):
         cache.hits(frame(spark, [], "seq long, item int"), capacity)
 
 
+def test_cache_operations(spark):
+    """Against a plain ordered dict, with every operation; looks don't refresh, a put of a held key evicts nothing."""
+    r = random.Random(21)
+    ops = [(i, r.choice(["get", "put", "put", "contains", "get", "put"] if i % 60 else ["reset", "clear"]), r.randrange(9)) for i in range(400)]
+    held, hits, misses, want = OrderedDict(), 0, 0, []
+    for _, op, k in ops:
+        answer, gone = k in held, None
+        if op in ("reset", "clear"):
+            hits = misses = 0
+            answer = None
+            if op == "clear":
+                held = OrderedDict()
+        if op == "get":
+            hits += answer
+            misses += not answer
+        if op == "put" and not answer:
+            if len(held) == 4:
+                gone, _ = held.popitem(last=False)
+            held[k] = 1
+        elif op in ("get", "put") and answer:
+            held.move_to_end(k)
+        want.append((answer, gone, len(held), hits, misses))
+    rows = frame(spark, ops, "seq long, op string, item int").repartition(3)
+    got = cache.operated(rows, 4).orderBy("seq").collect()
+    assert [tuple(x)[3:] for x in got] == want
+    assert cache.operated(rows.limit(0), 4).count() == 0
+    with pytest.raises(Exception, match="unknown operation"):
+        cache.operated(frame(spark, [(1, "steal", 2)], "seq long, op string, item int"), 4).collect()
+
+
 def test_cache_stream_goes_on_from_its_state(spark):
     r = random.Random(9)
     trace = [r.randrange(12) for _ in range(200)]
@@ -137,8 +180,11 @@ def test_cms_never_underestimates(spark):
 
 
 def test_top_k(spark):
-    rows = frame(spark, [("v1", 100, 0), ("v2", 50, 1), ("v3", 200, 2), ("v4", 30, 3), ("v5", 150, 4)], "item string, n long, seq long")
-    assert [tuple(x) for x in ranking.top_k(rows, "item", 3, weight="n").collect()] == [("v3", 200), ("v5", 150), ("v1", 100)]
+    r = random.Random(33)
+    sums = {f"k{i}": r.randrange(1000) for i in range(25)}
+    rows = frame(spark, [(k, n, i) for i, (k, n) in enumerate(sums.items())], "item string, n long, seq long")
+    want = sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:7]
+    assert [tuple(x) for x in ranking.top_k(rows, "item", 7, weight="n").collect()] == want
 
 
 def test_bloom_known_answers(spark):
@@ -168,6 +214,8 @@ def test_sequential_filter(spark):
         held |= own
     rows = frame(spark, list(enumerate(tokens)), "seq long, token string").repartition(3)
     assert [x["duplicate"] for x in sketches.bloom_flags(rows, "token", bits, 3).orderBy("seq").collect()] == want
+    nulls = frame(spark, [(0, None), (1, "a"), (2, None), (3, "a")], "seq long, token string")
+    assert [x["duplicate"] for x in sketches.bloom_flags(nulls, "token", bits, 3).orderBy("seq").collect()] == [False, False, False, True]
     exact = [x["duplicate"] for x in sketches.exact_flags(rows, "token").orderBy("seq").collect()]
     assert sum(want) > sum(exact) and all(w for w, e in zip(want, exact, strict=True) if e)
 
@@ -191,7 +239,7 @@ def test_misra_gries_bounds_of_merged_parts(spark):
 
 # -- prefixes ---------------------------------------------------------------------------------
 
-TITLES = [("Stranger Things", 89), ("Squid Game", 111), ("Dark", 40), ("Daredevil", 44), ("The Crown", 60), ("The Witcher", 50)]
+TITLES = [("Harbour Lights", 71), ("Hollow Creek", 95), ("Moss", 33), ("Mosaic", 58), ("An Old Road", 64), ("An Odd Pair", 12)]
 
 
 def catalogue(spark, extra=()):
@@ -199,23 +247,23 @@ def catalogue(spark, extra=()):
     return prefix.catalogue(frame(spark, rows, "title string, popularity long, seq long"))
 
 
-@pytest.mark.parametrize("asked,want", [("str", ["Stranger Things"]), ("the", ["The Crown", "The Witcher"]), ("DA", ["Daredevil", "Dark"]), ("s", ["Squid Game", "Stranger Things"]), ("xyz123", [])])
+@pytest.mark.parametrize("asked,want", [("har", ["Harbour Lights"]), ("an", ["An Old Road", "An Odd Pair"]), ("MO", ["Mosaic", "Moss"]), ("h", ["Hollow Creek", "Harbour Lights"]), ("qqq", [])])
 def test_autocomplete(spark, asked, want):
     assert [x["title"] for x in prefix.autocomplete(catalogue(spark), asked).collect()] == want
 
 
 def test_catalogue_operations(spark):
-    found = catalogue(spark, [("Nueva Serie", 100), ("nueva serie", 50)])
+    found = catalogue(spark, [("Paper Boats", 80), ("paper boats", 45)])
     assert found.count() == 7
-    words = frame(spark, [("NUEVA SERIE",), ("None",)], "word string")
-    assert {x["word"]: x["popularity"] for x in prefix.lookup(words, found).collect()} == {"NUEVA SERIE": 150, "None": None}
-    left, told = prefix.deleted(found, frame(spark, [("Dark",), ("No Existe",)], "word string"))
-    assert left.count() == 6 and {x["word"]: x["existed"] for x in told.collect()} == {"Dark": True, "No Existe": False}
-    assert {x["prefix"]: x["found"] for x in prefix.any_with_prefix(found, ["str", "the", "xyz", ""]).collect()} == {"str": True, "the": True, "xyz": False, "": True}
-    assert [x["title"] for x in prefix.autocomplete(found, "").collect()][0] == "nueva serie" and prefix.autocomplete(found, "", empty_is_all=False).isEmpty()
-    asked = frame(spark, [(" The ",), ("  ",), ("stranger thi",), ("stranger thingsxx",)], "query string")
+    words = frame(spark, [("PAPER BOATS",), ("Absent",)], "word string")
+    assert {x["word"]: x["popularity"] for x in prefix.lookup(words, found).collect()} == {"PAPER BOATS": 125, "Absent": None}
+    left, told = prefix.deleted(found, frame(spark, [("Moss",), ("Nowhere",)], "word string"))
+    assert left.count() == 6 and {x["word"]: x["existed"] for x in told.collect()} == {"Moss": True, "Nowhere": False}
+    assert {x["prefix"]: x["found"] for x in prefix.any_with_prefix(found, ["har", "an", "qqq", ""]).collect()} == {"har": True, "an": True, "qqq": False, "": True}
+    assert [x["title"] for x in prefix.autocomplete(found, "").collect()][0] == "paper boats" and prefix.autocomplete(found, "", empty_is_all=False).isEmpty()
+    asked = frame(spark, [(" An ",), ("  ",), ("harbour li",), ("harbour lightsxx",)], "query string")
     got = [(x["query"], x["title"]) for x in prefix.suggestions(asked, found).orderBy("query", "rank").collect()]
-    assert got == [(" The ", "The Crown"), (" The ", "The Witcher"), ("stranger thi", "Stranger Things")]
+    assert got == [(" An ", "An Old Road"), (" An ", "An Odd Pair"), ("harbour li", "Harbour Lights")]
 
 
 # -- similarity -------------------------------------------------------------------------------
@@ -295,11 +343,80 @@ def test_generators_do_not_depend_on_partitions(spark):
     assert one.filter("tipo in ('search', 'payment') and video_id is not null").isEmpty()
     top = generators.access_stream(spark, 5000, 100, 1.2).groupBy("item").count().orderBy(F.desc("count")).first()
     assert top["item"] == 1 and abs(top["count"] / 5000 - 1 / sum(i**-1.2 for i in range(1, 101))) < 0.03
-    assert generators.catalogue_titles(spark, 300).distinct().count() == 300
     assert generators.watch_histories(spark, 30).groupBy("user_id").count().filter("count > 20").isEmpty()
     assert generators.duplicate_events(spark, 2000).select("token").distinct().count() < 1990
 
 
+def test_generated_users_and_videos(spark):
+    users = generators.users(spark, 3000).collect()
+    assert len({u["user_id"] for u in users}) == 3000 and abs(sum(u["tipo"] == "premium" for u in users) / 3000 - 0.35) < 0.04
+    assert abs(sum(u["activo"] for u in users) / 3000 - 0.8) < 0.04 and {u["edad"] for u in users} == set(range(16, 66))
+    assert {len(u["generos_favoritos"]) for u in users} == {2, 3, 4, 5} and all(len(set(u["generos_favoritos"])) == len(u["generos_favoritos"]) for u in users)
+    assert {len(u["dispositivos"]) for u in users} == {1, 2, 3} and {u["fecha_registro"].year for u in users} == {2023}
+    assert {g for u in users for g in u["generos_favoritos"]} == set(generators.GENRES) and {u["pais"] for u in users} == set(generators.COUNTRIES)
+    videos = generators.videos(spark, 2000, titles=["First one", "Second"]).orderBy("video_id").collect()
+    assert [v["titulo"] for v in videos[:3]] == ["First one", "Second", "Producción Original 0"]
+    assert abs(sum(v["tipo"] == "serie" for v in videos) / 2000 - 0.6) < 0.04 and {v["anio"] for v in videos} == set(range(2015, 2025))
+    for v in videos:
+        low, high = (30, 60) if v["tipo"] == "serie" else (20, 180)
+        assert low <= v["duracion_min"] <= high and 1 <= v["temporadas"] <= (5 if v["tipo"] == "serie" else 1)
+        assert 5 <= v["calificacion_imdb"] <= 9.5 and 400 <= v["tamano_mb"] <= 2000 and 1_000_000 <= v["vistas_totales"] <= 150_000_000
+    below = sum(v["vistas_totales"] < 2_000_000 for v in videos) / 2000
+    assert abs(below - (1 - 2**-1.5)) < 0.04  # Pareto's law
+
+
+def test_generated_events(spark):
+    users, videos = generators.users(spark, 200), generators.videos(spark, 60)
+    kinds = {u["user_id"]: u for u in users.collect()}
+    rows = generators.events(spark, users, videos, 6000).collect()
+    assert len({r["evento_id"] for r in rows}) == 6000
+    shares = Counter(r["tipo"] for r in rows)
+    assert all(abs(shares[k] / 6000 - w / 100) < 0.02 for k, w in generators.EVENT_WEIGHTS.items()) and set(shares) == set(generators.EVENT_WEIGHTS)
+    for r in rows:
+        user = kinds[r["user_id"]]
+        assert r["user_type"] == user["tipo"] and (r["video_id"] is not None) == (r["tipo"] in generators.WITH_VIDEO)
+        if r["tipo"] == "stream":
+            assert r["datos"]["dispositivo"] in user["dispositivos"] and (r["datos"]["calidad"] != "4K" or user["tipo"] == "premium") and 1 <= int(r["datos"]["duracion_vista"]) <= 120
+        if r["tipo"] == "payment":
+            assert r["datos"]["monto"] == ("15.99" if user["tipo"] == "premium" else "9.99")
+        if r["tipo"] == "search":
+            assert r["datos"] == {"query": "Producción"}
+    views = Counter(r["video_id"] for r in rows if r["video_id"])
+    assert abs(views["vid_0000"] / sum(views.values()) - 1 / sum(i**-0.8 for i in range(1, 61))) < 0.02
+    audience = generators.cowatch(users, videos).groupBy("video_id").count()
+    assert audience.count() == 60 and audience.filter("count < 5").isEmpty()
+
+
+def test_generated_titles(spark):
+    titles = generators.catalogue_titles(spark, 3000)
+    found = [r["title"] for r in titles.collect()]
+    assert found == sorted(set(found)) and len(found) == 3000
+    words = [t.split(" ") for t in found]
+    for i, values in enumerate((generators.ADJECTIVES, generators.NOUNS, generators.SUFFIXES)):
+        assert {w[i] for w in words} == set(values)
+    assert all(1 <= int(w[3]) <= 999 for w in words) and len({w[3] for w in words}) > 500
+    for count in (0, 10, 7000):
+        asked = [r["query"] for r in generators.prefix_queries(titles, count).collect()]
+        assert len(asked) == count and all(3 <= len(q) <= 10 for q in asked)
+    assert {r["event_type"] for r in generators.stream_events(spark, 3000).collect()} == set(generators.STREAM_WEIGHTS)
+    with pytest.raises(ValueError):
+        generators.catalogue_titles(spark, 10**7)
+
+
+def test_cumulative_weights(spark):
+    rows = frame(spark, [(i, 1.0 / i) for i in range(1, 2501)], "rank long, weight double").repartition(4)
+    got = [r["cumulative"] for r in running.cumulative_weights(rows, "rank", "weight", block=100).orderBy("rank").collect()]
+    total, run = sum(1.0 / i for i in range(1, 2501)), 0.0
+    for i, share in enumerate(got):
+        run += 1.0 / (i + 1)
+        assert abs(share - run / total) < 1e-9
+
+
+def test_normalised_tokens(spark):
+    row = frame(spark, [(" \tUser:Title\n", "\t10.0.0.1 ", None)], "t string, s string, n string").select(running.normalised_token(F.col("t")), running.normalised_source(F.col("s")), running.normalised_token(F.col("n"))).first()
+    assert tuple(row) == ("user:title", "10.0.0.1", None)
+
+
 def test_json_round_trip(spark, tmp_path):
     rows = frame(spark, [("é", [1, 2])], "name string, members array<int>")
     scratch.write_json(rows, str(tmp_path / "out"))
