@@ -35,6 +35,29 @@ def test_shards_hold_the_mixture(spark):
     assert {(x["doc_id"], x["shard"], x["slot"]) for x in got} == {(x["doc_id"], x["shard"], x["slot"]) for x in again}
 
 
+def test_shards_follow_the_fractional_ranks(spark):
+    """The order against plain ranking, from the same hashes."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    rows = [(i, "t" * r.randint(0, 9), "hot" if i % 3 else f"s{i % 30}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    key = F.concat(F.lit("="), F.col("source"))
+    shift = F.shiftrightunsigned(F.xxhash64(F.lit(18), key), 11).cast("double") / float(1 << 53)
+    hashed = docs.select("doc_id", key.alias("key"), F.xxhash64(F.lit(17), F.col("doc_id"), F.crc32(F.col("text").cast("binary"))).alias("h"), shift.alias("shift")).collect()
+    sources = defaultdict(list)
+    for x in hashed:
+        sources[x["key"]].append((x["h"] % 2**64, x["doc_id"], x["shift"]))
+    order = []
+    for name, own in sources.items():
+        order += [((i + 1 - shift) / len(own), name, doc) for i, (_, doc, shift) in enumerate(sorted(own))]
+    want, starts = {}, {}
+    for at, (_, _, doc) in enumerate(sorted(order)):
+        shard = at * 16 // len(rows)
+        want[doc] = (shard, at - starts.setdefault(shard, at))
+    assert {x["doc_id"]: (x["shard"], x["slot"]) for x in sharding.interleaved(docs, 16, seed=17).collect()} == want
+
+
 def test_shards_of_few_rows(spark):
     docs = spark.createDataFrame([(1, "a", "s"), (1, "a", "s"), (None, None, None)], "doc_id long, text string, source string")
     got = sharding.interleaved(docs, 16).collect()
