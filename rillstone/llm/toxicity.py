@@ -15,7 +15,8 @@ the scores of the other half, the least ratio of the share of unlabelled rows ab
 to that of positives, with the confidence bound of best bin estimation.
 
 Training takes at most `most_positive` and `most_unlabelled` rows, those with the least hash of
-their id: a bounded sample.  Scoring reads every whole text.
+their id: a bounded sample.  Executors count its words, and the driver gets, of each row, only
+those that may have a weight.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.sources.packaging import ship
 
 from . import wordhash as wh
+from .shared import written
 
 BITS = 18
 #: Lengths, in bytes, of the beginnings of words that are features too.
@@ -99,11 +101,21 @@ def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.n
     return value, np.where(positive, prior / n_p * slope, -slope / n_u)
 
 
+def telling(in_p: np.ndarray | Column, in_u: np.ndarray | Column, n_p: int, n_u: int, rare: int = 5, lift: float = 4.0) -> np.ndarray | Column:
+    """Whether words in so many of n_p positives, and of n_u unlabelled rows, get a weight.
+
+    They are in `rare` positives or more, and `lift` times as common among them as among the
+    unlabelled, and by more than chance: three deviations of the counts.
+    """
+    share = in_u / float(n_u)
+    more = in_p - n_p * share
+    return (in_p >= rare) & (in_p >= lift * n_p * share) & (more > 0) & (more * more > 9 * n_p * (share + 1 / n_u))
+
+
 def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l1: float = 2e-4, rare: int = 5, lift: float = 4.0) -> Model:
     """docs: hashed words of each document; positive: which are confirmed.
 
-    Words have a weight only if they are in `rare` positives or more, and `lift` times as common
-    among them as among the unlabelled, and by more than chance.
+    Only words that are `telling` have a weight, so `docs` may leave out others.
     """
     lengths = np.array([len(d) for d in docs], np.int64)
     words = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
@@ -113,10 +125,7 @@ def fit(docs: list[np.ndarray], positive: np.ndarray, prior: float, rounds: int
         return Model(np.zeros(1 << BITS, np.float32), -4.0)
     in_p = np.bincount(words[positive[row]], minlength=1 << BITS)
     in_u = np.bincount(words[~positive[row]], minlength=1 << BITS)
-    # words must be commoner among the positives by three deviations of the counts
-    share = in_u / n_u
-    vocab = (in_p >= rare) & (in_p >= lift * n_p * share) & (in_p - n_p * share > 3 * np.sqrt(n_p * (share + 1 / n_u)))
-    keep = vocab[words]
+    keep = telling(in_p, in_u, n_p, n_u, rare, lift)[words]
     words, row = words[keep], row[keep]
     ids, words = np.unique(words, return_inverse=True)
     w, b = np.zeros(len(ids)), -2.0
@@ -155,11 +164,8 @@ def best_bin(positives: np.ndarray, unlabelled: np.ndarray, default: float = 0.1
     return float(min(1.0, q_u[best] / q_p[best]))
 
 
-def estimated_prior(docs: list[np.ndarray], positive: np.ndarray) -> float:
-    """By a model of every second row of each kind, whose own prior is a rough one, and the others' scores; the mean of both ways round."""
-    half = np.zeros(len(docs), bool)
-    for kind in (positive, ~positive):
-        half[np.flatnonzero(kind)[::2]] = True
+def estimated_prior(docs: list[np.ndarray], positive: np.ndarray, half: np.ndarray) -> float:
+    """By a model of one half of the rows, whose own prior is a rough one, and the others' scores; the mean of both ways round."""
     found = []
     for own in (half, ~half):
         model = fit([docs[i] for i in np.flatnonzero(own)], positive[own], 0.5)
@@ -176,8 +182,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12000, prior: float | None = None, text: str = "text") -> Model:
     """A model from rows outside the test fold: texts that `labels` (doc_id, toxic) confirms, and texts it says nothing of.
 
-    A null label counts as none; an id that `labels` gives twice is toxic if one row says so.  A
-    label of 0 is not used.  Without positives, or without unlabelled documents, every score is
+    A null label counts as none; an id that `labels` gives twice is toxic if one row says so.  Of
+    the rows of one id, that with the least words is used.  A label of 0 is not used.  Without positives, or without unlabelled documents, every score is
     near 0.
     """
     ship(docs.sparkSession)
@@ -190,16 +196,53 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, row, word, rows in features(batch.column(1)):
+            for first, row, word, rows in features(batch.column(2)):
                 at = wh.bounds(row, rows)
                 found = [np.unique(word[at[i] : at[i + 1]]).astype("<i4").tobytes() for i in range(rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + rows], pa.array(found, pa.binary())], names=["positive", "words"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[first : first + rows] for i in range(2)), pa.array(found, pa.binary())], names=["doc_id", "positive", "words"])
 
     # most_positive + most_unlabelled rows at most, so the ids are sent to every executor
-    rows = docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(sample), "doc_id").select("positive", "text").mapInArrow(extract, "positive boolean, words binary").collect()
-    rows.sort(key=lambda r: (r["positive"], bytes(r["words"])))
-    found, positive = [np.frombuffer(r["words"], "<i4").astype(np.int64) for r in rows], np.array([r["positive"] for r in rows], bool)
-    return fit(found, positive, estimated_prior(found, positive) if prior is None else prior)
+    rows = docs.select("doc_id", docs[text].alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "positive", "text")
+    rows = rows.mapInArrow(extract, "doc_id long, positive boolean, words binary").groupBy("doc_id", "positive").agg(F.min("words").alias("words"))
+    number = F.row_number().over(Window.partitionBy("positive").orderBy("words"))  # the sample's rows, whose number is bounded
+    rows = written(rows.select("positive", number.alias("number"), (number % 2 == 1).alias("half"), "words"), "sample")
+    told = _useful(rows)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column("words")]
+            short = pa.array([w[told[w]].tobytes() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], short], names=batch.schema.names)
+
+    found = rows.mapInArrow(shorten, rows.schema).toArrow().sort_by([("positive", "ascending"), ("number", "ascending")])
+    words = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in found.column("words")]
+    positive, half = (found.column(c).to_numpy() for c in ("positive", "half"))
+    return fit(words, positive, estimated_prior(words, positive, half) if prior is None else prior)
+
+
+def _useful(rows: DataFrame) -> np.ndarray:
+    """Which hashed words are `telling` in the sample or in either half of it (positive, half, words): the driver needs no others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((4, 1 << BITS), np.int32)
+        for batch in batches:
+            for positive, half, words in zip(*(batch.column(c) for c in ("positive", "half", "words")), strict=True):
+                cells[2 * positive.as_py() + half.as_py()][np.frombuffer(words.as_buffer(), "<i4")] += 1  # each once a document
+        some = np.flatnonzero(cells.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some].astype(np.int64)) for c in cells)], names=["word", "u0", "u1", "p0", "p1"])
+
+    cells = ["u0", "u1", "p0", "p1"]
+    counts = rows.mapInArrow(count, "word long, u0 long, u1 long, p0 long, p1 long").groupBy("word").agg(*[F.sum(c).alias(c) for c in cells])
+    sizes = dict.fromkeys(cells, 0) | {f"{'p' if r['positive'] else 'u'}{int(r['half'])}": r["n"] for r in rows.groupBy("positive", "half").agg(F.count("*").alias("n")).collect()}
+    wanted = F.lit(False)
+    for halves in ("0", "1", "01"):
+        n_p, n_u = (sum(sizes[kind + h] for h in halves) for kind in "pu")
+        if n_p and n_u:
+            in_p, in_u = (sum((F.col(kind + h) for h in halves[1:]), F.col(kind + halves[0])) for kind in "pu")
+            wanted |= telling(in_p, in_u, n_p, n_u)
+    told = np.zeros(1 << BITS, bool)
+    told[counts.filter(wanted).select("word").toArrow().column(0).to_numpy().astype(np.int64)] = True
+    return told
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

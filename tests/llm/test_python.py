@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillstone.llm import packing, pii, sharding, toxicity
@@ -207,6 +208,35 @@ def test_labels_of_clean_documents_are_not_read(spark):
     assert seen["p"] == sum(t for i, t in labels if not fold(i)) and seen["n"] - seen["p"] == sum(i not in marked and not fold(i) for i, _ in docs)
 
 
+def test_sample_is_one_row_an_id_and_its_telling_words(spark):
+    docs, labels, _ = corpus(8, 900)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit
+    try:
+        toxicity.fit = lambda docs, positive, *rest, **kw: seen.append(docs) or real(docs, positive, *rest, **kw)
+        once = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), marks)
+        # one id holds most rows, some with a text of its own that has more words
+        key, text = next(d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 and d[0] not in dict(labels))
+        hot = docs + [(key, text)] * 500 + [(key, text + " more")] * 400
+        again = toxicity.train(spark.createDataFrame(hot, "doc_id long, text string").repartition(7), marks)
+    finally:
+        toxicity.fit = real
+    assert max(map(len, seen)) < 900
+    assert len(seen[2]) == len(seen[5])
+    assert once.bias == pytest.approx(again.bias, abs=0.2)
+    # the model is that of all words
+    column = lambda rows: next(toxicity.features(pa.array([t for _, t in rows], pa.string())))
+    marked, fold = dict(labels), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = [d for d in docs if not fold(d[0]) and marked.get(d[0], 1)]
+    _, row, word, n = column(rows)
+    whole = [np.unique(word[row == i]) for i in range(n)]
+    positive = np.array([d[0] in marked for d in rows])
+    given = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), marks, prior=0.1)
+    direct = toxicity.fit(whole, positive, 0.1)
+    assert np.allclose(given.weights, direct.weights, atol=1e-4) and direct.weights.any()
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
