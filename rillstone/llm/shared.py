@@ -20,17 +20,24 @@ def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """`df`, written once in the shared folder and read from there: it cuts lineage and outlives executors.
 
     With `tidy`, shuffle files of plans that nothing refers to any more are dropped now, for
-    steps that move about as many bytes as the input has.
+    steps that move about as many bytes as the input has.  So they are, with the broadcast
+    sides of such plans, after any step that leaves the driver's heap a third full.
     """
     spark = df.sparkSession
     ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    if tidy:
+    if tidy or _filled(spark) > 1 / 3:
         _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _filled(spark: SparkSession) -> float:
+    """The share of the driver's heap that is in use, by what is garbage too."""
+    heap = spark.sparkContext._jvm.Runtime.getRuntime()
+    return (heap.totalMemory() - heap.freeMemory()) / heap.maxMemory()
+
+
 def _tidy(spark: SparkSession) -> None:
     """Spark drops a shuffle's files when the driver collects the plan as garbage, which may otherwise be much later."""
     gc.collect()
