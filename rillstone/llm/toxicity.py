@@ -35,6 +35,8 @@ from . import wordhash as wh
 from .shared import written
 
 BITS = 18
+#: Bytes of text whose words are held at once; a longer text is held alone.
+RUN = 1 << 20
 #: Lengths, in bytes, of the beginnings of words that are features too.
 PREFIXES = (3, 4)
 #: Marks that stick to words and say nothing about them.
@@ -52,7 +54,7 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 def features(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first row, row of each, hashed word or beginning of each, rows)."""
-    for first, data, offsets in wh.texts(column):
+    for first, data, offsets in wh.texts(column, RUN):
         clean = _lowered(data)
         row, start, end, hashes = wh.words(clean, offsets, lower=False)
         rows, words = [row], [hashes]
