@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,21 +176,27 @@ def misra_gries(items: DataFrame, item: str, k: int = 50, seq: str | None = None
     schema = f"item {kind}, n long"
     rows = items.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), *([F.col(seq).alias("seq")] if seq else []))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        summary = MisraGries(k)
+    def counters(summary: MisraGries, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+        if summary.counts:  # a partition without items has none, and no type either
+            yield pa.RecordBatch.from_arrays([pa.array(list(summary.counts), kind), pa.array(list(summary.counts.values()), pa.int64())], names=["item", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, kind = MisraGries(k), None
         for batch in batches:
-            for x in batch["item"]:
+            kind = batch.column(0).type
+            for x in batch.column(0).to_pylist():
                 summary.add(x)
-        yield pd.DataFrame({"item": list(summary.counts), "n": list(summary.counts.values())})
+        yield from counters(summary, kind)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        summary = MisraGries(k)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, kind = MisraGries(k), None
         for batch in batches:
-            summary.merge(batch["item"].tolist(), batch["n"].tolist())
-        yield pd.DataFrame({"item": list(summary.counts), "n": list(summary.counts.values())})
+            kind = batch.column(0).type
+            summary.merge(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield from counters(summary, kind)
 
     if seq:
-        out = rows.repartition(1).sortWithinPartitions("seq").select("item").mapInPandas(count, schema)
+        out = rows.repartition(1).sortWithinPartitions("seq").select("item").mapInArrow(count, schema)
     else:
-        out = rows.mapInPandas(count, schema).repartition(1).mapInPandas(merge, schema)
+        out = rows.mapInArrow(count, schema).repartition(1).mapInArrow(merge, schema)
     return out.withColumnRenamed("item", item) if item != "item" else out
