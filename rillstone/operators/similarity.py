@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.hashing import PRIME, bands_and_rows, element, minhash_parameters
+from rillstone.sources.packaging import ship
 
 from .ranking import top_k_per_group
 
@@ -105,24 +109,144 @@ def recommended(signed: DataFrame, items: DataFrame | None = None, k: int = 10,
     return top_k_per_group(pairs, ["item"], [F.desc("similarity"), F.col("other")], k).select("item", "rank", "other", "similarity")
 
 
+#: One task compares about so many queried items with about so many others, and holds about so many members of either.
+BLOCK, MEMBERS = 4096, 1 << 20
+#: Blocks of other items, at least, so that work spreads at every size.
+SPREAD = 16
+#: A token of more than one in so many pairs of rows is counted by a product of matrices.
+DENSE = 50
+
+
+def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of each value; equal values have equal tokens."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _bands(numbers: pa.Array, hashes: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of each row's buckets, as `signatures` and `buckets` make them; rows are lists of `element`s."""
+    bands, width = bands_and_rows(hashes, bands)
+    sizes = pc.list_value_length(numbers).to_numpy(zero_copy_only=False)
+    x, full = numbers.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sizes > 0
+    signed = np.zeros((len(sizes), hashes), np.int64)
+    if len(x):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for i, (a, b) in enumerate(minhash_parameters(hashes)):
+            signed[full, i] = np.minimum.reduceat((np.uint64(a) * x + np.uint64(b)) % np.uint64(PRIME), starts)
+    tokens, first = [], 0
+    for k in range(bands):
+        found, at = np.unique(signed[:, k * width : (k + 1) * width], axis=0, return_inverse=True)
+        tokens.append(at.reshape(-1) + first)
+        first += len(found)
+    return np.tile(np.arange(len(sizes)), bands), np.concatenate(tokens)
+
+
+def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, flush: int = 4_000_000) -> np.ndarray:
+    """How many tokens each of the rows `left` shares with each of the rows `right`.
+
+    Frequent tokens are counted by products of incidence matrices, the others pair by pair.
+    """
+    tokens = int(token.max(initial=-1)) + 1
+
+    def side(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.full(int(row.max(initial=-1)) + 1, -1)
+        own = rows < len(place)
+        place[rows[own]] = np.flatnonzero(own)
+        here = place[row] >= 0
+        return place[row[here]], token[here], np.bincount(token[here], minlength=tokens)
+
+    (x, tx, cx), (y, ty, cy) = side(left), side(right)
+    both = np.zeros((len(left), len(right)), np.float32 if len(row) < 1 << 24 else np.float64)  # whole numbers, exact in either
+    often = cx * cy * DENSE > len(left) * len(right)
+    number = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 1024):
+
+        def incidence(at: np.ndarray, t: np.ndarray, rows: int) -> np.ndarray:
+            some = often[t] & (number[t] >= lo) & (number[t] < lo + 1024)  # noqa: B023
+            out = np.zeros((rows, 1024), both.dtype)
+            out[at[some], number[t[some]] - lo] = 1  # noqa: B023
+            return out
+
+        both += incidence(x, tx, len(left)) @ incidence(y, ty, len(right)).T
+    rare = np.where(often, 0, cy)
+    some = rare[tx] > 0
+    x, tx = x[some], tx[some]
+    some = rare[ty] > 0
+    y = y[some][np.argsort(ty[some], kind="stable")]
+    start, times = np.cumsum(rare) - rare, rare[tx]
+    ends, flat, lo = np.cumsum(times), both.reshape(-1), 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + flush)))
+        n = times[lo:hi]
+        at = np.repeat(start[tx[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        np.add.at(flat, np.repeat(x[lo:hi] * len(right), n) + y[at], both.dtype.type(1))
+        lo = hi
+    return both
+
+
+def _nearest(sets: DataFrame, queries: DataFrame, k: int, hashes: int = 0, bands: int = 0) -> DataFrame:
+    """(item, rank, other, jaccard): the `k` most similar to each queried item, with `hashes` among LSH candidates only.
+
+    Queried items and all items are cut into blocks by hash.  A task compares one block of either:
+    it counts the common members of all their pairs in a matrix and gives out `k` rows of each
+    queried item, so pairs are never rows.  All sets are sent once for each block of queried
+    items, which are sent once for each block of all.
+    """
+    ship(sets.sparkSession)
+    sets = sets.filter(F.col("item").isNotNull())
+    wanted = queries.select("item").distinct().withColumn("_asked", F.lit(True))
+    sizes = _sizes(sets).join(wanted, "item", "left")
+    asked = F.coalesce("_asked", F.lit(False))
+    parts = lambda rows, n, least: F.greatest(F.lit(least), F.ceil(rows / BLOCK), F.ceil(n / MEMBERS)).cast("int")
+    cut = sizes.agg(
+        parts(F.count_if(asked), F.coalesce(F.sum(F.when(asked, F.col("n"))), F.lit(0)), 1).alias("_is"),
+        parts(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), SPREAD).alias("_js"),
+    )
+    numbers = [F.collect_list(element(F.col("member"))).alias("numbers")] if hashes else []
+    whole = sets.groupBy("item").agg(F.count("*").alias("n"), F.collect_list("member").alias("members"), *numbers).join(wanted, "item", "left").crossJoin(F.broadcast(cut))  # one row
+    own = lambda c: F.pmod(F.xxhash64("item"), F.col(c)).cast("int")
+    place = lambda i, j, q: F.struct(i.alias("i"), j.alias("j"), F.lit(q).alias("queried"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    as_other = F.transform(every("_is"), lambda i: place(i, own("_js"), False))
+    as_asked = F.transform(F.when(asked, every("_js")).otherwise(F.array().cast("array<int>")), lambda j: place(own("_is"), j, True))
+    rows = whole.select("item", "n", "members", *["numbers"] * bool(hashes), F.inline(F.concat(as_other, as_asked)))
+
+    def compare(data: pa.Table) -> pa.Table:
+        data = data.combine_chunks()
+        column = lambda c: data.column(c).chunk(0)
+        items, n, queried = column("item"), column("n").to_numpy(), column("queried").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(queried), np.flatnonzero(~queried)
+        right = right[pc.array_sort_indices(items.take(pa.array(right)), order="descending").to_numpy()]  # of equal ones the larger come first
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            both = _common(*_tokens(column("members")), left, right)
+            out = _common(*_bands(column("numbers"), hashes, bands), left, right) == 0 if hashes else np.zeros(both.shape, bool)
+            same = pc.index_in(items.take(pa.array(right)), value_set=items.take(pa.array(left)))
+            out[same.drop_null().to_numpy(zero_copy_only=False), np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))] = True
+            for lo in range(0, len(left), 256):
+                b = both[lo : lo + 256].astype(np.float64)
+                jaccard = b / (n[left[lo : lo + 256], None] + n[right] - b)
+                jaccard[out[lo : lo + 256]] = -1
+                take = jaccard >= 0
+                if len(right) > k:
+                    least = np.partition(jaccard, len(right) - k, axis=1)[:, len(right) - k, None]
+                    above, tie = jaccard > least, jaccard == least
+                    take &= above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)))
+                x, y = np.nonzero(take)
+                found.append((left[lo + x], right[y], jaccard[x, y]))
+        x, y, jaccard = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"item": items.take(pa.array(x)), "other": items.take(pa.array(y)), "jaccard": pa.array(jaccard)})
+
+    kind = sets.schema["item"].dataType.simpleString()
+    best = rows.groupBy("i", "j").applyInArrow(compare, f"item {kind}, other {kind}, jaccard double")
+    return top_k_per_group(best, ["item"], [F.desc("jaccard"), F.desc("other")], k)
+
+
 def top_exact(sets: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(item, rank, other, jaccard): the `k` most similar to each queried item, ties by larger id.
 
-    Items that share no member have similarity 0 and fill up what is missing; only the `k`
-    largest ids can, so they alone are added.
+    Items that share no member have similarity 0 and fill up what is missing.
     """
-    asked = queries.select("item").distinct().join(_sizes(sets).select("item"), "item", "left_semi")
-    left = sets.join(asked, "item", "left_semi")
-    met = left.join(sets.select(F.col("item").alias("other"), "member"), "member").filter(F.col("item") != F.col("other"))
-    both = met.groupBy("item", "other").agg(F.count("*").alias("both"))
-    n = _sizes(sets)
-    scored = both.join(n.withColumnRenamed("n", "n_a"), "item").join(n.select(F.col("item").alias("other"), F.col("n").alias("n_b")), "other")
-    scored = scored.select("item", "other", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
-    # an item's k best of similarity 0 lie among the k + 1 largest ids and those that it shares members with
-    spare = n.select("item").orderBy(F.desc("item")).limit(k + 1).withColumnRenamed("item", "other")
-    zero = asked.crossJoin(F.broadcast(spare)).filter(F.col("item") != F.col("other"))  # k + 1 rows
-    zero = zero.join(both.select("item", "other"), ["item", "other"], "left_anti").withColumn("jaccard", F.lit(0.0))
-    return top_k_per_group(scored.unionByName(zero), ["item"], [F.desc("jaccard"), F.desc("other")], k)
+    return _nearest(sets, queries, k)
 
 
 def top_approximate(sets: DataFrame, queries: DataFrame, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, OrderedDict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,51 @@ def test_jaccard(spark):
     assert [(x["other"], x["jaccard"]) for x in similarity.top_exact(rows, frame(spark, [("a",)], "item string"), 3).orderBy("rank").collect()] == [("d", 1.0), ("b", pairs[("a", "b")]), ("c", 0.0)]
 
 
+def random_sets(items, members, most):
+    r = random.Random(5)
+    return {f"i{k:02d}": set(r.sample([f"m{x}" for x in range(members)], r.randint(1, most))) for k in range(items)}
+
+
+def brute(named, asked, k, allowed=lambda a, b: True):
+    j = {(a, b): len(named[a] & named[b]) / len(named[a] | named[b]) for a in named for b in named if a != b}
+    return {(a, rank, b, j[a, b]) for a in asked for rank, b in enumerate(sorted(sorted((b for b in named if b != a and allowed(a, b)), reverse=True), key=lambda b: -j[a, b])[:k], 1)}
+
+
+def pairs_as_rows(found):
+    """Joins of the plan that pair items, a row for each member or bucket that they share."""
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "Join" in x and ("member#" in x or "bucket#" in x)]
+
+
+@pytest.mark.parametrize("members,most", [(8, 6), (300, 4)])
+def test_top_exact_by_blocks(spark, monkeypatch, members, most):
+    monkeypatch.setattr(similarity, "BLOCK", 7, raising=False)  # several blocks of queried items too
+    named = random_sets(60, members, most)
+    asked = [*list(named)[::3], "unknown", None]
+    got = similarity.top_exact(sets(spark, **named), frame(spark, [(a,) for a in asked * 2], "item string"), 4)
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got.collect()} == brute(named, asked[:-2], 4)
+    assert not pairs_as_rows(got)
+
+
+def test_top_exact_of_few_rows(spark):
+    rows = frame(spark, [(1, 1), (2, 1), (None, 1)], "item long, member long")
+    top = lambda rows, *asked: [tuple(x) for x in similarity.top_exact(rows, frame(spark, [(a,) for a in asked], "item long"), 5).select("item", "rank", "other", "jaccard").collect()]
+    assert top(rows, 1, 9) == [(1, 1, 2, 1.0)] and top(rows) == top(rows.filter("item = 1"), 1) == top(rows.filter("item > 9"), 1) == []
+
+
+@pytest.mark.parametrize("dense", [0, 50, 10**9])
+def test_common_tokens(monkeypatch, dense):
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    r = np.random.default_rng(3)
+    has = r.random((30, 1500)) < r.random(1500) ** 4
+    has[4] = False
+    row, token = np.nonzero(has)
+    left, right = np.array([3, 29, 4]), np.arange(29, -1, -1)
+    want = has[left].astype(int) @ has[right].astype(int).T
+    assert (similarity._common(row, token, left, right, flush=100) == want).all()
+    assert not similarity._common(row[:0], token[:0], left, right).any()
+
+
 def test_band_counts():
     assert hashing.bands_and_rows(100, 20) == (20, 5) and hashing.bands_and_rows(100, 30) == (33, 3)
     with pytest.raises(ValueError):
