@@ -251,9 +251,7 @@ def top_exact(sets: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def top_approximate(sets: DataFrame, queries: DataFrame, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
     """(item, rank, other, jaccard): as `top_exact`, but among LSH candidates only, ranked by exact similarity."""
-    pairs = both_ways(candidates(signatures(sets, hashes), hashes, bands)).join(queries.select("item").distinct(), "item", "left_semi")
-    scored = jaccard_of(pairs.withColumnsRenamed({"item": "a", "other": "b"}), sets).withColumnsRenamed({"a": "item", "b": "other"})
-    return top_k_per_group(scored.select("item", "other", "jaccard"), ["item"], [F.desc("jaccard"), F.desc("other")], k)
+    return _nearest(sets, queries, k, hashes, bands)
 
 
 def precision_at_k(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:

@@ -334,6 +334,18 @@ def test_top_exact_by_blocks(spark, monkeypatch, members, most):
     assert not pairs_as_rows(got)
 
 
+@pytest.mark.parametrize("members,most", [(8, 6), (300, 4)])
+def test_top_approximate_by_blocks(spark, monkeypatch, members, most):
+    monkeypatch.setattr(similarity, "BLOCK", 7, raising=False)
+    named = random_sets(60, members, most)
+    asked = [*list(named)[::3], "unknown"]
+    rows = sets(spark, **named)
+    near = {(x["a"], x["b"]) for x in similarity.candidates(similarity.signatures(rows, 64), 64, 32).collect()}
+    got = similarity.top_approximate(rows, frame(spark, [(a,) for a in asked], "item string"), 4)
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got.collect()} == brute(named, asked[:-1], 4, lambda a, b: (min(a, b), max(a, b)) in near)
+    assert not pairs_as_rows(got)
+
+
 def test_top_exact_of_few_rows(spark):
     rows = frame(spark, [(1, 1), (2, 1), (None, 1)], "item long, member long")
     top = lambda rows, *asked: [tuple(x) for x in similarity.top_exact(rows, frame(spark, [(a,) for a in asked], "item long"), 5).select("item", "rank", "other", "jaccard").collect()]
