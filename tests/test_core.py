@@ -346,6 +346,18 @@ def test_top_approximate_by_blocks(spark, monkeypatch, members, most):
     assert not pairs_as_rows(got)
 
 
+def test_precision_of_searches(spark):
+    named = random_sets(60, 12, 6)
+    asked = frame(spark, [(a,) for a in list(named)[::3]], "item string")
+    rows = sets(spark, **named)
+    exact, near = similarity.top_exact(rows, asked, 4), similarity.top_approximate(rows, asked, 4, 8, 4)
+    got = similarity.precision_at_k(exact, near, 4)
+    best, found = ({(x["item"], x["other"]) for x in df.collect()} for df in (exact, near))
+    hits = Counter(a for a, b in best if (a, b) in found)
+    assert {(x["item"], x["hits"], x["precision"]) for x in got.collect()} == {(a, hits[a], round(hits[a] / 4, 6)) for a in list(named)[::3]}
+    assert not pairs_as_rows(got) and 0 < sum(hits.values()) < 80
+
+
 def test_top_exact_of_few_rows(spark):
     rows = frame(spark, [(1, 1), (2, 1), (None, 1)], "item long, member long")
     top = lambda rows, *asked: [tuple(x) for x in similarity.top_exact(rows, frame(spark, [(a,) for a in asked], "item long"), 5).select("item", "rank", "other", "jaccard").collect()]
