@@ -25,7 +25,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from rillstone.sources.packaging import ship
 
 from . import wordhash as wh
 from .components import components
-from .shared import NULL_ID, hot_join, id_key, salted_join, shuffle_parts, written
+from .shared import NULL_ID, give_back, hot_join, id_key, salted_join, shuffle_parts, written
 
 U = wh.U
 LOW = U(2**63 - 1)
@@ -44,11 +44,15 @@ TOP = U(1) << U(63)
 SIZE = 5
 #: Posting lists up to this long give all their pairs.
 SHORT = 2
+#: Bytes of text whose words are held at once; a longer text is held alone.
+RUN = 1 << 20
+#: Groups of so many bytes leave much free memory in the worker that had them.
+LARGE = 1 << 20
 
 
 def shingles(column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, each row's shingle hashes, 63 bits, not distinct yet) of runs of rows."""
-    for first, data, offsets in wh.texts(column):
+    for first, data, offsets in wh.texts(column, RUN):
         rows = len(offsets) - 1
         row, _, _, hashes = wh.words(data, offsets)
         grams, at = wh.grams(hashes, size) & LOW, wh.bounds(row, rows).tolist()
@@ -84,6 +88,15 @@ class Order:
         return keys
 
 
+def thrice(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys that `held`, which is emptied, has three times or more, and how often; the keys are copied once, and sorted in place."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    again, counts = np.unique(keys[2:][keys[2:] == keys[:-2]], return_counts=True)  # a key of n rows is here n - 2 times
+    return again, counts.astype(np.int64) + 2
+
+
 def common_shingles(docs: DataFrame, most: int, text: str, size: int, flush: int = 4_000_000) -> np.ndarray:
     """Up to `most` shingles that tasks saw three times or more among `flush`, the most frequent first."""
 
@@ -91,9 +104,8 @@ def common_shingles(docs: DataFrame, most: int, text: str, size: int, flush: int
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["k", "n"])
+            keys, counts = thrice(held)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["k", "n"])
 
         for batch in batches:
             for _, rows in shingles(batch.column(0), size):
@@ -101,9 +113,10 @@ def common_shingles(docs: DataFrame, most: int, text: str, size: int, flush: int
                 n += sum(map(len, rows))
                 if n >= flush:
                     yield out()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield out()
+        give_back()
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     return found.orderBy(F.desc("n"), "k").limit(most).select("k").toArrow().column(0).to_numpy().astype(np.int64).view(U)
@@ -127,6 +140,7 @@ def sets(docs: DataFrame, order: Order, whole: bool, percent: int, text: str, si
                     [batch.column(0)[first : first + len(rows)], batch.column(1)[first : first + len(rows)], pa.array(n, pa.int32()), pa.array(whole_digest), pa.array(prefix), pa.array([int(k[-1]) - 2**64 * (int(k[-1]) >> 63) if len(k) else 0 for k in prefixes], pa.int64()), pa.array([k.tobytes() for k in kept], pa.binary())],
                     names=["_id", "_t", "n", "node", "prefix", "last", "keys"],
                 )
+        give_back()
 
     return docs.select(id_key().alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("text")).mapInArrow(make, "_id long, _t long, n int, node long, prefix long, last long, keys binary")
 
@@ -162,6 +176,7 @@ def postings(groups: DataFrame, buckets: int, percent: int) -> DataFrame:
                 cut = lambda x: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())  # noqa: E731, B023
                 none = pa.nulls(len(full), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, *[pa.nulls(len(full), pa.int32())] * 2, cut(key), cut(a), cut(n), cut(more)], names=names)
+        give_back()
 
     names = ["bucket", "key", "a", "n", "cap", "keys", "many_a", "many_n", "many_more"]
 
@@ -231,7 +246,19 @@ def matched(dealt: DataFrame, percent: int) -> DataFrame:
             }
         )
 
-    return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(match, "kind int, key long, a long, b long, n int, cap int")
+    return dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(lean(match), "kind int, key long, a long, b long, n int, cap int")
+
+
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`f` of a group, after which a large group's memory is given back."""
+
+    def run(data: pa.Table) -> pa.Table:
+        out = f(data)
+        if data.nbytes > LARGE:
+            give_back()
+        return out
+
+    return run
 
 
 def _need(x: np.ndarray, y: np.ndarray, percent: int) -> int:
@@ -260,6 +287,7 @@ def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: in
                 good[i] = both + min(nx - cx, ny - cy) >= _need(nx, ny, percent)
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+        give_back()
 
     return hot_join(pairs, {"a": side("a"), "b": side("b")}, block).mapInArrow(test, "a long, b long")
 
@@ -327,7 +355,7 @@ def crossed_short(placed: DataFrame, shared: DataFrame, groups: DataFrame, perce
         x, y = x[good], y[good]
         return pa.table({"a": pa.array(a[x]), "part_a": pa.array(part[x]), "b": pa.array(a[y]), "part_b": pa.array(part[y])})
 
-    return both.groupBy("bucket").applyInArrow(cross, _PAIRS)
+    return both.groupBy("bucket").applyInArrow(lean(cross), _PAIRS)
 
 
 def crossed(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -381,7 +409,7 @@ def crossed(placed: DataFrame, shared: DataFrame, groups: DataFrame, percent: in
         x, y = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a[x]), "part_a": pa.array(part[x]), "b": pa.array(a[y]), "part_b": pa.array(part[y])})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(cross, _PAIRS)
+    return rows.groupBy("key", "i", "j").applyInArrow(lean(cross), _PAIRS)
 
 
 def similar(pairs: DataFrame, full: DataFrame, percent: int, block: int = 20_000) -> DataFrame:
@@ -397,6 +425,7 @@ def similar(pairs: DataFrame, full: DataFrame, percent: int, block: int = 20_000
                 good[i] = 100 * both >= percent * (len(x) + len(y) - both)
             good = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
+        give_back()
 
     return hot_join(pairs, {"u": side("u"), "v": side("v")}, block).mapInArrow(test, "u long, v long")
 

@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillstone.llm import jaccard
@@ -102,3 +105,29 @@ def test_hot_keys_are_dealt(spark):
         found = hot_join(pairs, {"u": side("u"), "v": side("v")}, block, few).select("u", "v", "x_u", "x_v").collect()
         assert sorted(map(tuple, found)) == want
     assert sorted(map(tuple, salted_join(pairs, side("u"), ["u"], ["v"]).select("u", "v", "x_u").collect())) == sorted(r[:3] for r in want)
+
+
+def test_thrice_counts_in_little_memory():
+    r = np.random.default_rng(2)
+    for n, few in ((0, 1), (1, 1), (2, 1), (500, 90)):
+        keys = r.integers(0, few, n).astype(np.uint64)
+        values, counts = np.unique(keys, return_counts=True)
+        got, times = jaccard.thrice([keys[:3], keys[3:]])
+        assert (got == values[counts >= 3]).all() and (times == counts[counts >= 3]).all()
+    held = [r.integers(0, 2**62, 1 << 20, np.uint64)]
+    tracemalloc.start()
+    assert len(jaccard.thrice(held)[0]) == 0 and held == []
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20  # one copy of 8 MB, and a byte a key
+    tracemalloc.stop()
+
+
+def test_words_of_little_text_are_held_at_once():
+    words = [" ".join(f"w{i * 300 + j}" for j in range(300)) for i in range(3000)]
+    column = pa.array(words)
+    list(jaccard.shingles(column[:1]))  # tables that stay
+    tracemalloc.start()
+    runs = [(first, len(rows)) for first, rows in jaccard.shingles(column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f for f, _ in runs] == [0, *np.cumsum([n for _, n in runs])[:-1]] and sum(n for _, n in runs) == len(words)
+    assert peak < 40 << 20
