@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -50,6 +51,11 @@ def element(member: Column) -> Column:
     return sha_prefix(member.cast("string"), 8).cast("long")
 
 
+def element_of(text: bytes) -> int:
+    """`element` of a member, given its text in UTF-8."""
+    return int(hashlib.sha256(text).hexdigest()[:8], 16)
+
+
 def bands_and_rows(hashes: int, bands: int) -> tuple[int, int]:
     """Bands that divide the signature as nearly as the count asked for; a last odd hash stays unused."""
     if not 0 < bands <= hashes:

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.functions.hashing import PRIME, bands_and_rows, element, minhash_parameters
+from rillstone.functions.hashing import PRIME, bands_and_rows, element, element_of, minhash_parameters
 from rillstone.sources.packaging import ship
 
 from .ranking import top_k_per_group
@@ -111,8 +111,8 @@ def recommended(signed: DataFrame, items: DataFrame | None = None, k: int = 10,
 
 #: One task compares about so many queried items with about so many others, and holds about so many members of either.
 BLOCK, MEMBERS = 4096, 1 << 20
-#: Blocks of other items, at least, so that work spreads at every size.
-SPREAD = 16
+#: Blocks of other items, and tasks that compare, at least, so that work spreads at every size.
+SPREAD = 8
 #: A token of more than one in so many pairs of rows is counted by a product of matrices.
 DENSE = 50
 
@@ -122,22 +122,32 @@ def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
-def _bands(numbers: pa.Array, hashes: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of each row's buckets, as `signatures` and `buckets` make them; rows are lists of `element`s."""
+def _buckets(lists: pa.Array, hashes: int, bands: int) -> np.ndarray:
+    """A row of bucket numbers for each row of members, of each band one; equal numbers of a band are equal buckets of `buckets`."""
     bands, width = bands_and_rows(hashes, bands)
-    sizes = pc.list_value_length(numbers).to_numpy(zero_copy_only=False)
-    x, full = numbers.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sizes > 0
-    signed = np.zeros((len(sizes), hashes), np.int64)
-    if len(x):
+    sizes, coded = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+    x, at, full = np.array([element_of(m) for m in coded.dictionary.to_pylist()], np.uint64), coded.indices.to_numpy(zero_copy_only=False), sizes > 0
+    signed = np.zeros((hashes, len(sizes)), np.int64)
+    if len(at):
         starts = (np.cumsum(sizes) - sizes)[full]
         for i, (a, b) in enumerate(minhash_parameters(hashes)):
-            signed[full, i] = np.minimum.reduceat((np.uint64(a) * x + np.uint64(b)) % np.uint64(PRIME), starts)
-    tokens, first = [], 0
-    for k in range(bands):
-        found, at = np.unique(signed[:, k * width : (k + 1) * width], axis=0, return_inverse=True)
-        tokens.append(at.reshape(-1) + first)
-        first += len(found)
-    return np.tile(np.arange(len(sizes)), bands), np.concatenate(tokens)
+            signed[i, full] = np.minimum.reduceat(((np.uint64(a) * x + np.uint64(b)) % np.uint64(PRIME)).astype(np.int64)[at], starts)
+    kind = np.uint16 if len(sizes) <= 1 << 16 else np.uint32
+    out = np.zeros((bands, len(sizes)), kind)
+    for band in range(bands):
+        for column in signed[band * width : (band + 1) * width]:  # numbers of the columns so far are below 2**32, hashes below 2**31
+            out[band] = np.unique(out[band].astype(np.int64) << 31 | column, return_inverse=True)[1].reshape(-1)
+    return out
+
+
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Which are the `k` largest of each row, of equal ones the first; none below 0."""
+    take = score >= 0
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+        above, tie = score > least, score == least
+        take &= above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+    return take
 
 
 def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, flush: int = 4_000_000) -> np.ndarray:
@@ -157,12 +167,12 @@ def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndar
     (x, tx, cx), (y, ty, cy) = side(left), side(right)
     both = np.zeros((len(left), len(right)), np.float32 if len(row) < 1 << 24 else np.float64)  # whole numbers, exact in either
     often = cx * cy * DENSE > len(left) * len(right)
-    number = np.cumsum(often) - 1
-    for lo in range(0, int(often.sum()), 1024):
+    number, last = np.cumsum(often) - 1, int(often.sum())
+    for lo in range(0, last, 1024):
 
         def incidence(at: np.ndarray, t: np.ndarray, rows: int) -> np.ndarray:
             some = often[t] & (number[t] >= lo) & (number[t] < lo + 1024)  # noqa: B023
-            out = np.zeros((rows, 1024), both.dtype)
+            out = np.zeros((rows, min(1024, last - lo)), both.dtype)  # noqa: B023
             out[at[some], number[t[some]] - lo] = 1  # noqa: B023
             return out
 
@@ -183,32 +193,42 @@ def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndar
     return both
 
 
-def _nearest(sets: DataFrame, queries: DataFrame, k: int, hashes: int = 0, bands: int = 0) -> DataFrame:
-    """(item, rank, other, jaccard): the `k` most similar to each queried item, with `hashes` among LSH candidates only.
+def _whole(sets: DataFrame) -> DataFrame:
+    """(item, n, members) of items with members, of rows (item, member) that may come again; members are sorted."""
+    # nulls are left out by the set, not by a filter, for which members would be computed twice
+    whole = sets.filter(F.col("item").isNotNull()).groupBy("item").agg(F.sort_array(F.collect_set("member")).alias("members"))
+    return whole.select("item", F.size("members").alias("n"), "members").filter("n > 0")
+
 
-    Queried items and all items are cut into blocks by hash.  A task compares one block of either:
-    it counts the common members of all their pairs in a matrix and gives out `k` rows of each
-    queried item, so pairs are never rows.  All sets are sent once for each block of queried
-    items, which are sent once for each block of all.
+def _nearest(sets: DataFrame, queries: DataFrame | Column, k: int, hashes: int = 0, bands: int = 0, both: bool = False) -> DataFrame:
+    """(item, near, rank, other, jaccard): the `k` most similar to each queried item.
+
+    With `hashes` they are sought among LSH candidates only (`near`), and with `both` among all
+    as well.  Of equal sets only the `k` + 1 largest items are compared as others: all have the
+    same similarity to any item, and no other of them can be among the `k`.  Queried items and
+    others are cut into blocks by hash.  A task compares one block of either: it counts the common
+    members of all their pairs in a matrix and gives out `k` rows of each queried item, so pairs
+    are never rows.  The others are sent once for each block of queried items, which are sent once
+    for each block of others.
     """
     ship(sets.sparkSession)
-    sets = sets.filter(F.col("item").isNotNull())
-    wanted = queries.select("item").distinct().withColumn("_asked", F.lit(True))
-    sizes = _sizes(sets).join(wanted, "item", "left")
-    asked = F.coalesce("_asked", F.lit(False))
-    parts = lambda rows, n, least: F.greatest(F.lit(least), F.ceil(rows / BLOCK), F.ceil(n / MEMBERS)).cast("int")
-    cut = sizes.agg(
-        parts(F.count_if(asked), F.coalesce(F.sum(F.when(asked, F.col("n"))), F.lit(0)), 1).alias("_is"),
-        parts(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), SPREAD).alias("_js"),
-    )
-    numbers = [F.collect_list(element(F.col("member"))).alias("numbers")] if hashes else []
-    whole = sets.groupBy("item").agg(F.count("*").alias("n"), F.collect_list("member").alias("members"), *numbers).join(wanted, "item", "left").crossJoin(F.broadcast(cut))  # one row
+    whole = _whole(sets)
+    if isinstance(queries, Column):
+        whole = whole.withColumn("_asked", F.coalesce(queries, F.lit(False)))
+    else:
+        whole = whole.join(queries.select("item").distinct().withColumn("_asked", F.lit(True)), "item", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    twice = whole.select("item", "members", F.explode(F.when(F.col("_asked"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("queried"))
+    keyed = twice.withColumn("_set", F.xxhash64("members")).withColumn("_own", F.when(F.col("queried"), F.col("item")))  # each queried item stays
+    kept = top_k_per_group(keyed, ["_set", "members", "_own"], [F.desc("item")], k + 1).select("item", F.size("members").alias("n"), "members", "queried")
+    parts = lambda here, least: F.greatest(F.lit(least), F.ceil(F.count_if(here) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)) / MEMBERS)).cast("int")
+    cut = kept.agg(parts(F.col("queried"), 1).alias("_is"), parts(~F.col("queried"), SPREAD).alias("_js"))
     own = lambda c: F.pmod(F.xxhash64("item"), F.col(c)).cast("int")
-    place = lambda i, j, q: F.struct(i.alias("i"), j.alias("j"), F.lit(q).alias("queried"))
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    as_other = F.transform(every("_is"), lambda i: place(i, own("_js"), False))
-    as_asked = F.transform(F.when(asked, every("_js")).otherwise(F.array().cast("array<int>")), lambda j: place(own("_is"), j, True))
-    rows = whole.select("item", "n", "members", *["numbers"] * bool(hashes), F.inline(F.concat(as_other, as_asked)))
+    as_asked = F.transform(every("_js"), lambda j: place(own("_is"), j))
+    as_other = F.transform(every("_is"), lambda i: place(i, own("_js")))
+    texts = [F.transform("members", lambda m: m.cast("string").cast("binary")).alias("texts")] if hashes else []
+    rows = kept.crossJoin(F.broadcast(cut)).select("item", "n", "members", "queried", *texts, F.inline(F.when(F.col("queried"), as_asked).otherwise(as_other)))  # cut is one row
 
     def compare(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
@@ -216,42 +236,50 @@ def _nearest(sets: DataFrame, queries: DataFrame, k: int, hashes: int = 0, bands
         items, n, queried = column("item"), column("n").to_numpy(), column("queried").to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(queried), np.flatnonzero(~queried)
         right = right[pc.array_sort_indices(items.take(pa.array(right)), order="descending").to_numpy()]  # of equal ones the larger come first
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
         if len(left) and len(right):
-            both = _common(*_tokens(column("members")), left, right)
-            out = _common(*_bands(column("numbers"), hashes, bands), left, right) == 0 if hashes else np.zeros(both.shape, bool)
+            common = _common(*_tokens(column("members")), left, right)
             same = pc.index_in(items.take(pa.array(right)), value_set=items.take(pa.array(left)))
-            out[same.drop_null().to_numpy(zero_copy_only=False), np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))] = True
-            for lo in range(0, len(left), 256):
-                b = both[lo : lo + 256].astype(np.float64)
-                jaccard = b / (n[left[lo : lo + 256], None] + n[right] - b)
-                jaccard[out[lo : lo + 256]] = -1
-                take = jaccard >= 0
-                if len(right) > k:
-                    least = np.partition(jaccard, len(right) - k, axis=1)[:, len(right) - k, None]
-                    above, tie = jaccard > least, jaccard == least
-                    take &= above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)))
-                x, y = np.nonzero(take)
-                found.append((left[lo + x], right[y], jaccard[x, y]))
-        x, y, jaccard = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"item": items.take(pa.array(x)), "other": items.take(pa.array(y)), "jaccard": pa.array(jaccard)})
+            itself = same.drop_null().to_numpy(zero_copy_only=False), np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
+            if hashes:
+                at = _buckets(column("texts"), hashes, bands)
+                x, y = at[:, left], at[:, right]
+            step = max(1, (1 << 18) // len(right))
+            for lo in range(0, len(left), step):
+                b = common[lo : lo + step].astype(np.float64)
+                jaccard = b / (n[left[lo : lo + step], None] + n[right] - b)
+                here = (itself[0] >= lo) & (itself[0] < lo + step)
+                jaccard[itself[0][here] - lo, itself[1][here]] = -1
+                kinds = [(jaccard, False)] if both or not hashes else []
+                if hashes:
+                    met = np.zeros(b.shape, bool)
+                    for band in range(len(at)):
+                        met |= x[band, lo : lo + step, None] == y[band]
+                    kinds.append((np.where(met, jaccard, -1), True))
+                for score, near in kinds:
+                    p, q = np.nonzero(_best(score, k))
+                    found.append((left[lo + p], right[q], score[p, q], np.full(len(p), near)))
+        p, q, jaccard, near = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"item": items.take(pa.array(p)), "other": items.take(pa.array(q)), "jaccard": pa.array(jaccard), "near": pa.array(near)})
 
     kind = sets.schema["item"].dataType.simpleString()
-    best = rows.groupBy("i", "j").applyInArrow(compare, f"item {kind}, other {kind}, jaccard double")
-    return top_k_per_group(best, ["item"], [F.desc("jaccard"), F.desc("other")], k)
+    tasks = max(SPREAD, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows, long work: not to be merged
+    best = rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(compare, f"item {kind}, other {kind}, jaccard double, near boolean")
+    return top_k_per_group(best.repartition("item"), ["item", "near"], [F.desc("jaccard"), F.desc("other")], k).select("item", "near", "rank", "other", "jaccard")
 
 
-def top_exact(sets: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_exact(sets: DataFrame, queries: DataFrame | Column, k: int = 5) -> DataFrame:
     """(item, rank, other, jaccard): the `k` most similar to each queried item, ties by larger id.
 
+    `sets` has rows (item, member), any number of times; `queries` has items, or is a condition on them.
     Items that share no member have similarity 0 and fill up what is missing.
     """
-    return _nearest(sets, queries, k)
+    return _nearest(sets, queries, k).drop("near")
 
 
-def top_approximate(sets: DataFrame, queries: DataFrame, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
+def top_approximate(sets: DataFrame, queries: DataFrame | Column, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
     """(item, rank, other, jaccard): as `top_exact`, but among LSH candidates only, ranked by exact similarity."""
-    return _nearest(sets, queries, k, hashes, bands)
+    return _nearest(sets, queries, k, hashes, bands).drop("near")
 
 
 def precision_at_k(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
@@ -260,6 +288,15 @@ def precision_at_k(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("item").agg(F.count("_hit").alias("hits"), F.round(F.count("_hit") / F.lit(k), 6).alias("precision"))
 
 
+def precision_of_searches(sets: DataFrame, queries: DataFrame | Column, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
+    """`precision_at_k` of `top_exact` and `top_approximate`; each pair is counted once for both."""
+    found = _nearest(sets, queries, k, hashes, bands, both=True)
+    others = lambda here: F.collect_set(F.when(here, F.col("other")))
+    lists = found.groupBy("item").agg(others(~F.col("near")).alias("_exact"), others(F.col("near")).alias("_near")).filter(F.size("_exact") > 0)
+    hits = F.size(F.array_intersect("_exact", "_near")).cast("long")
+    return lists.select("item", hits.alias("hits"), F.round(hits / F.lit(k), 6).alias("precision"))
+
+
 def swapped(sets: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:
     """A set less some members, with others added."""
     return sets.join(out, ["item", "member"], "left_anti").unionByName(into.select("item", "member")).distinct()

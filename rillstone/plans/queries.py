@@ -70,11 +70,6 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.members(_events(spark, sf_dir), "item", "user_id")
 
 
-def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user, item) of all events."""
-    return similarity.members(_events(spark, sf_dir), "user_id", "item")
-
-
 def _premium() -> Column:
     return F.col("user_id") % 3 == 0
 
@@ -656,25 +651,25 @@ _APPROX = (
 )
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).filter(F.col("user_id") % 50 == 0).select(F.col("user_id").alias("item"))
+def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, item) of all events, as they come."""
+    return _events(spark, sf_dir).select(F.col("user_id").alias("item"), F.col("item").alias("member"))
 
 
 @query("SELECT item, rank, other, jaccard FROM top", _USERS)
 def top_exact_users(spark, sf_dir):
-    return similarity.top_exact(_histories(spark, sf_dir), _asked(spark, sf_dir)).select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
+    return similarity.top_exact(_watched(spark, sf_dir), F.col("item") % 50 == 0).select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("SELECT item, rank, other, jaccard FROM near", _APPROX)
 def top_approximate_users(spark, sf_dir):
-    found = similarity.top_approximate(_histories(spark, sf_dir), _asked(spark, sf_dir))
+    found = similarity.top_approximate(_watched(spark, sf_dir), F.col("item") % 50 == 0)
     return found.select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("SELECT top.item, count(near.other) AS hits, round(count(near.other) / 5, 6) AS precision FROM top LEFT JOIN near ON near.item = top.item AND near.other = top.other GROUP BY top.item", _APPROX)
 def precision_at_k(spark, sf_dir):
-    sets, asked = _histories(spark, sf_dir), _asked(spark, sf_dir)
-    return similarity.precision_at_k(similarity.top_exact(sets, asked), similarity.top_approximate(sets, asked), 5)
+    return similarity.precision_of_searches(_watched(spark, sf_dir), F.col("item") % 50 == 0)
 
 
 @query("SELECT item, member FROM m WHERE NOT (item = 1 AND member % 2 = 0) UNION SELECT 1, user_id FROM ev WHERE item = 2", _SETS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions import hashing
 from rillstone.operators import cache, prefix, ranking, running, similarity, sketches
-from rillstone.plans import pipeline
+from rillstone.plans import pipeline, queries
 from rillstone.sources import generators, scratch
 from rillstone.streaming import streams
 
@@ -358,6 +358,53 @@ def test_precision_of_searches(spark):
     assert not pairs_as_rows(got) and 0 < sum(hits.values()) < 80
 
 
+def test_precision_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    named = random_sets(60, 12, 6)
+    asked = list(named)[::3]
+    rows = sets(spark, **named)
+    best, found = ({(x["item"], x["other"]) for x in df.collect()} for df in (similarity.top_exact(rows, frame(spark, [(a,) for a in asked], "item string"), 4), similarity.top_approximate(rows, F.col("item").isin(asked), 4, 8, 4)))
+    raw = rows.unionByName(rows).unionByName(frame(spark, [("i00", None), (None, "m1"), ("i99", None)], "item string, member string"))  # rows as they come
+    got = similarity.precision_of_searches(raw, F.col("item").isin([*asked, "i99"]), 4, 8, 4)
+    hits = Counter(a for a, b in best if (a, b) in found)
+    assert {(x["item"], x["hits"], x["precision"]) for x in got.collect()} == {(a, hits[a], round(hits[a] / 4, 6)) for a in asked}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and not pairs_as_rows(got)
+
+
+def test_equal_sets_give_their_largest_items(spark):
+    one, two = {"a", "b", "c"}, {"a", "b", "d", "e"}
+    named = {f"i{k:02d}": one if k % 2 else two if k % 3 else {"z"} for k in range(40)}
+    asked = ["i00", "i01", "i37", "i38", "i39"]
+    got = similarity.top_exact(sets(spark, **named), F.col("item").isin(asked), 3)
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got.collect()} == brute(named, asked, 3)
+    got = similarity.top_approximate(sets(spark, **named), F.col("item").isin(asked), 25, 64, 64)
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got.collect()} == brute(named, asked, 25, lambda a, b: bool(named[a] & named[b]))
+
+
+def test_precision_parses_events_once(spark, tmp_path):
+    rows = [(i, i % 4 * 50, f'{{"k": {i // 4 % 3}}}') for i in range(40)] + [(40, 50, None), (41, 50, "{"), (42, None, '{"k": 1}'), (43, 250, '{"k": "x"}')]
+    frame(spark, [(i, None, u, "view", 1.0, p) for i, u, p in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["precision_at_k"](spark, str(tmp_path))
+    assert {(x["item"], x["hits"], x["precision"]) for x in got.collect()} == {(u, 3, 0.6) for u in (0, 50, 100, 150)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "get_json_object" in x]
+
+
+@pytest.mark.parametrize("members", ["long", "string", "double"])
+def test_buckets_of_arrays(spark, members):
+    rows = frame(spark, [(i, str(i * 7 % 5 + j)) for i in range(30) for j in range(i % 4 + 1)], "item long, member string").withColumn("member", F.col("member").cast(members))
+    want = {}
+    for x in similarity.buckets(similarity.signatures(rows, 9), 9, 3).collect():
+        want.setdefault((x["band"], tuple(x["bucket"])), set()).add(x["item"])
+    texts = rows.groupBy("item").agg(F.collect_list(F.col("member").cast("string").cast("binary")).alias("texts")).orderBy("item").toArrow()["texts"].combine_chunks()
+    got = {}
+    for band, numbers in enumerate(similarity._buckets(texts, 9, 3)):
+        for item, number in enumerate(numbers.tolist()):
+            got.setdefault((band, number), set()).add(item)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_top_exact_of_few_rows(spark):
     rows = frame(spark, [(1, 1), (2, 1), (None, 1)], "item long, member long")
     top = lambda rows, *asked: [tuple(x) for x in similarity.top_exact(rows, frame(spark, [(a,) for a in asked], "item long"), 5).select("item", "rank", "other", "jaccard").collect()]
