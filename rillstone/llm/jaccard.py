@@ -273,7 +273,7 @@ def allowed(pairs: DataFrame, groups: DataFrame, percent: int, broadcast_ids: in
     wanted = written(wanted, "asked")
     if wanted.count() <= broadcast_ids:
         wanted = F.broadcast(wanted)
-    groups = groups.join(wanted, "prefix", "left_semi").groupBy("prefix").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    groups = written(groups.join(wanted, "prefix", "left_semi").groupBy("prefix").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "sides")
     side = lambda c: groups.select(F.col("prefix").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,9 +462,9 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     found = written(matched(dealt, percent), "found", tidy=True)
     often = written(dealt.filter("bucket < 0").select("key", "a", "n", "cap").distinct(), "often")
     # a common shingle's smallest group meets its others: one aggregate, combined before the shuffle
-    hubs = often.groupBy("key").agg(F.min(F.struct("n", "a", "cap")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    hubs = written(often.groupBy("key").agg(F.min(F.struct("n", "a", "cap")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c"), "hubs")
     stars = salted_join(often, hubs, ["key"], ["a"]).filter((F.col("n") <= F.col("hub.cap")) & (F.col("hub.n") <= F.col("cap"))).select(*[c.alias(x) for c, x in zip(_ordered(F.col("a"), F.col("hub.a")), "ab", strict=True)])
-    shared_often = salted_join(often, hubs.select("key"), ["key"], ["a"], "left_semi")
+    shared_often = written(salted_join(often, hubs.select("key"), ["key"], ["a"], "left_semi"), "shared-often")
     lists = found.filter("kind = 1").select("key", "a", "n", "cap").union(shared_often.select("key", "a", "n", "cap"))
     short = found.filter("kind = 0").select("a", "b")
     candidates = written(allowed(short.union(stars).filter("a <> b").distinct(), groups, percent), "candidates")
@@ -497,7 +497,7 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     apart = (F.col("part_a") != F.col("part_b")) & (F.col("n") <= F.col("cap_b")) & (F.col("m") <= F.col("cap"))
     for turn in range(turns + 1):
         parts = written(members.join(label, "node", "left").select("prefix", "node", "n", F.coalesce("label", "node").alias("part")), "parts")
-        kinds = parts.groupBy("prefix", "part").agg(F.min("node").alias("rep"))
+        kinds = written(parts.groupBy("prefix", "part").agg(F.min("node").alias("rep")), "kinds")
         placed = lists.join(kinds.select(F.col("prefix").alias("a"), F.col("part").alias("part_a")), "a")
         split = placed.groupBy("key").agg(F.min("part_a").alias("p"), F.max("part_a").alias("q"), F.min("n").alias("smallest"), F.max("cap").alias("widest")).filter("p <> q")
         placed = salted_join(placed, split, ["key"], ["a"]).filter("cap >= smallest and n <= widest").select("key", "a", "n", "cap", "part_a")
@@ -507,8 +507,8 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
         score = F.col("d") if turn == 0 else F.xxhash64(F.lit(turn), "a")
         heads = placed.join(degree, "a").groupBy("key").agg(F.max(F.struct(score.alias("d"), "a", F.col("n").alias("m"), "part_a", "cap")).alias("h"))
         heads = heads.select("key", F.col("h.a").alias("b"), F.col("h.m").alias("m"), F.col("h.part_a").alias("part_b"), F.col("h.cap").alias("cap_b"))
-        met = salted_join(placed, heads, ["key"], ["a"]).filter(apart & (F.col("a") != F.col("b"))).select("a", "part_a", "b", "part_b").distinct()
-        met = met.join(allowed(met.select("a", "b").distinct(), groups, percent), ["a", "b"])
+        met = written(salted_join(placed, heads, ["key"], ["a"]).filter(apart & (F.col("a") != F.col("b"))).select("a", "part_a", "b", "part_b").distinct(), "heads-met", tidy=True)
+        met = met.join(written(allowed(met.select("a", "b").distinct(), groups, percent), "allowed"), ["a", "b"])
         rep = lambda c, x: kinds.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("rep").alias(x))  # noqa: E731, B023
         more = verified(met.join(rep("a", "u"), ["a", "part_a"]).join(rep("b", "v"), ["b", "part_b"]).select("u", "v"))
         if not more.isEmpty():
@@ -524,12 +524,12 @@ def linked(docs: DataFrame, percent: int = 75, size: int = SIZE, common: int = 1
     common_keys = found.filter("kind = 2").select("a", "key").union(shared_often.select("a", "key"))
     common_keys = common_keys.join(mixed, "a", "left_semi").groupBy("a").agg(F.collect_set("key").alias("shared"))
     common_keys = written(common_keys, "shared-keys")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("least"))
+    sizes = written(placed.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("least")), "sizes")
     few = placed.join(sizes.filter(F.col("c") <= FEW), "key").drop("c")
     many = placed.join(sizes.filter(F.col("c") > FEW).select("key"), "key")
-    far = crossed_short(few, common_keys, groups, percent).union(crossed(many, common_keys, groups, percent))
-    far = written(far.distinct(), "far", tidy=True)
-    far = far.join(allowed(far.select("a", "b").distinct(), groups, percent), ["a", "b"])
+    near = written(crossed_short(few, common_keys, groups, percent), "far-short", tidy=True)
+    far = written(near.union(written(crossed(many, common_keys, groups, percent), "far-long", tidy=True)).distinct(), "far")
+    far = far.join(written(allowed(far.select("a", "b").distinct(), groups, percent), "allowed"), ["a", "b"])
     pieces = across.union(inside).unionByName(far).distinct()
     member = lambda c, x: parts.select(F.col("prefix").alias(c), F.col("part").alias(f"part_{c}"), F.col("node").alias(x))
     more = verified(pieces.join(member("a", "u"), ["a", "part_a"]).join(member("b", "v"), ["b", "part_b"]).select("u", "v"))

@@ -24,27 +24,33 @@ def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
 
     With `tidy`, shuffle files of plans that nothing refers to any more are dropped now, for
     steps that move about as many bytes as the input has.  So they are, with the broadcast
-    sides of such plans, after any step that leaves the driver's heap a third full.
+    sides of such plans, after any step that leaves the driver's heap a third full, or grown past half of its limit.
     """
     spark = df.sparkSession
     ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    if tidy or _filled(spark) > 1 / 3:
+    if tidy or _filled(spark):
         _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _filled(spark: SparkSession) -> float:
-    """The share of the driver's heap that is in use, by what is garbage too."""
+#: Bytes that the driver's heap took from the system after the last collection, by application.
+_LEFT: dict[str, int] = {}
+
+
+def _filled(spark: SparkSession) -> bool:
+    """Whether a third of the driver's heap is in use, by what is garbage too, or it has taken more than half of its limit, and more than the last collection left."""
     heap = spark.sparkContext._jvm.Runtime.getRuntime()
-    return (heap.totalMemory() - heap.freeMemory()) / heap.maxMemory()
+    taken, most = heap.totalMemory(), heap.maxMemory()
+    return 3 * (taken - heap.freeMemory()) > most or 2 * taken > most and taken > _LEFT.get(spark.sparkContext.applicationId, 0)
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Spark drops a shuffle's files when the driver collects the plan as garbage, which may otherwise be much later."""
+    """Spark drops a shuffle's files when the driver collects the plan as garbage, which may otherwise be much later; the heap also gives memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _LEFT[spark.sparkContext.applicationId] = spark.sparkContext._jvm.Runtime.getRuntime().totalMemory()
 
 
 def give_back() -> None:

@@ -131,3 +131,42 @@ def test_words_of_little_text_are_held_at_once():
     tracemalloc.stop()
     assert [f for f, _ in runs] == [0, *np.cumsum([n for _, n in runs])[:-1]] and sum(n for _, n in runs) == len(words)
     assert peak < 40 << 20
+
+
+def test_plans_of_the_join_are_small(spark, monkeypatch):
+    """The driver's memory grows with the square of a plan's exchanges, as adaptive execution plans anew after each."""
+    from rillstone.llm import components, shared
+
+    sizes = {}
+
+    def counted(df, name, tidy=False):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sizes[name] = max(sizes.get(name, 0), len(re.findall(r"\bExchange |BroadcastExchange ", plan)))
+        return shared.written(df, name, tidy)
+
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "written", counted)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = base[: 40 + i % 20]
+        words[rng.randrange(len(words))] = f"x{i % 7}"
+        rows.append((i, " ".join(words)))
+    found = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
+    assert max(sizes.values()) <= 16, sizes
+
+
+def test_stars_settle_in_one_round(spark, monkeypatch):
+    from rillstone.llm import components, shared
+
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name, tidy=False: (names.append(name), shared.written(df, name, tidy))[1])
+    links = spark.createDataFrame([(1, 5), (6, 1), (1, 7), (2, 9)], "u long, v long")
+    assert {tuple(r) for r in components.components(links).collect()} == {(1, 1), (5, 1), (6, 1), (7, 1), (2, 2), (9, 2)}
+    assert names.count("links") == 1
+    names.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert components.components(links.limit(0)).isEmpty()
