@@ -109,9 +109,11 @@ def recommended(signed: DataFrame, items: DataFrame | None = None, k: int = 10,
     return top_k_per_group(pairs, ["item"], [F.desc("similarity"), F.col("other")], k).select("item", "rank", "other", "similarity")
 
 
-#: One task compares about so many queried items with about so many others, and holds about so many members of either.
-BLOCK, MEMBERS = 4096, 1 << 20
-#: Blocks of other items, and tasks that compare, at least, so that work spreads at every size.
+#: One task compares about so many queried sets with about so many others, and holds about so many members of either.
+BLOCK, MEMBERS = 1 << 14, 1 << 20
+#: It holds the common members of so many pairs at a time.
+STRIP = 1 << 24
+#: Blocks of other sets, and tasks that compare, at least, so that work spreads at every size.
 SPREAD = 8
 #: A token of more than one in so many pairs of rows is counted by a product of matrices.
 DENSE = 50
@@ -140,14 +142,48 @@ def _buckets(lists: pa.Array, hashes: int, bands: int) -> np.ndarray:
     return out
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Which are the `k` largest of each row, of equal ones the first; none below 0."""
+def _first(row: np.ndarray, column: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (row, column) the `k` of each row with the largest scores, of equal ones the first, in that order."""
+    order = np.lexsort((column, -score, row))
+    row, column = row[order], column[order]
+    take = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[take], column[take]
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `k` largest of each row, of equal ones the first, in that order; none below 0."""
+    width = score.shape[1]
+    if width > 8 * k:  # the k-th largest of some columns is no larger than that of all
+        some = width // 8
+        row, column = np.nonzero(score >= np.maximum(np.partition(score[:, :some], some - k, axis=1)[:, some - k, None], 0))
+        if 8 * len(row) <= score.size:
+            return _first(row, column, score[row, column], k)
     take = score >= 0
-    if score.shape[1] > k:
-        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+    if width > k:
+        least = np.partition(score, width - k, axis=1)[:, width - k, None]
         above, tie = score > least, score == least
         take &= above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
-    return take
+    row, column = np.nonzero(take)
+    return _first(row, column, score[row, column], k)
+
+
+def _best_near(score: np.ndarray, row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `_best`, but of pairs that share a bucket of `x` (of rows) and `y` (of columns).
+
+    They are sought among each row's best, (`row`, `column`), and where fewer than `k` of these do, among all.
+    """
+    met = (x[:, row] == y[:, column]).any(0)
+    row, column = row[met], column[met]
+    row, column = _first(row, column, score[row, column], k)
+    few = np.bincount(row, minlength=len(score)) < k
+    again = np.flatnonzero(few)
+    if not len(again):
+        return row, column
+    met = np.zeros((len(again), score.shape[1]), bool)
+    for band in range(len(x)):
+        met |= x[band, again, None] == y[band]
+    r, c = _best(np.where(met, score[again], -1), k)
+    return np.concatenate([row[~few[row]], again[r]]), np.concatenate([column[~few[row]], c])
 
 
 def _common(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, flush: int = 4_000_000) -> np.ndarray:
@@ -200,86 +236,115 @@ def _whole(sets: DataFrame) -> DataFrame:
     return whole.select("item", F.size("members").alias("n"), "members").filter("n > 0")
 
 
-def _nearest(sets: DataFrame, queries: DataFrame | Column, k: int, hashes: int = 0, bands: int = 0, both: bool = False) -> DataFrame:
-    """(item, near, rank, other, jaccard): the `k` most similar to each queried item.
+#: Of these types Python gives the text that Spark's cast to string gives.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "string")
+
 
-    With `hashes` they are sought among LSH candidates only (`near`), and with `both` among all
-    as well.  Of equal sets only the `k` + 1 largest items are compared as others: all have the
-    same similarity to any item, and no other of them can be among the `k`.  Queried items and
-    others are cut into blocks by hash.  A task compares one block of either: it counts the common
-    members of all their pairs in a matrix and gives out `k` rows of each queried item, so pairs
-    are never rows.  The others are sent once for each block of queried items, which are sent once
-    for each block of others.
+def _nearest(sets: DataFrame, queries: DataFrame | Column | None, k: int, hashes: int = 0, bands: int = 0, both: bool = False) -> DataFrame:
+    """(item, exact, near): arrays of (jaccard, other), the `k` most similar to each queried item, the best first.
+
+    `queries` has items, or is a condition on them; without it every item is queried.  `near` has
+    those sought among LSH candidates with `hashes`, and is empty without; `exact` has those among
+    all without `hashes`, or with `both`.
+
+    Items of equal sets have the same similarities, so each different set is compared once, with
+    each different set, and stands for the `k` + 1 largest of its items: no more can be among the
+    best.  Each item then takes its set's `k` + 1 best, less itself.  Queried sets and others are
+    cut into blocks by hash.  A task compares one block of either: it counts the common members of
+    all their pairs in matrices and gives out one row of each queried set, so pairs are never rows.
+    The others are sent once for each block of queried sets, which are sent once for each block of
+    others.
     """
     ship(sets.sparkSession)
     whole = _whole(sets)
-    if isinstance(queries, Column):
-        whole = whole.withColumn("_asked", F.coalesce(queries, F.lit(False)))
+    if queries is None or isinstance(queries, Column):
+        whole = whole.withColumn("_asked", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False)))
     else:
         whole = whole.join(queries.select("item").distinct().withColumn("_asked", F.lit(True)), "item", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
-    twice = whole.select("item", "members", F.explode(F.when(F.col("_asked"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("queried"))
-    keyed = twice.withColumn("_set", F.xxhash64("members")).withColumn("_own", F.when(F.col("queried"), F.col("item")))  # each queried item stays
-    kept = top_k_per_group(keyed, ["_set", "members", "_own"], [F.desc("item")], k + 1).select("item", F.size("members").alias("n"), "members", "queried")
+    keyed = whole.select("item", "members", "_asked", F.xxhash64("members").alias("_set"))
+    largest = top_k_per_group(keyed, ["_set", "members", "_asked"], [F.desc("item")], k + 1)  # of queried items and of others, so that a queried set is known as such
+    same = largest.groupBy("_set", "members").agg(F.slice(F.sort_array(F.collect_list("item"), False), 1, k + 1).alias("items"), F.max("_asked").alias("_asked"))
+    same = same.withColumns({"id": F.col("items")[0], "n": F.size("members")})
     parts = lambda here, least: F.greatest(F.lit(least), F.ceil(F.count_if(here) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)) / MEMBERS)).cast("int")
-    cut = kept.agg(parts(F.col("queried"), 1).alias("_is"), parts(~F.col("queried"), SPREAD).alias("_js"))
-    own = lambda c: F.pmod(F.xxhash64("item"), F.col(c)).cast("int")
-    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    cut = same.agg(parts(F.col("_asked"), 1).alias("_is"), parts(F.lit(True), SPREAD).alias("_js"))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    place = lambda i, j, queried: F.struct(i.alias("i"), j.alias("j"), F.lit(queried).alias("queried"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    as_asked = F.transform(every("_js"), lambda j: place(own("_is"), j))
-    as_other = F.transform(every("_is"), lambda i: place(i, own("_js")))
-    texts = [F.transform("members", lambda m: m.cast("string").cast("binary")).alias("texts")] if hashes else []
-    rows = kept.crossJoin(F.broadcast(cut)).select("item", "n", "members", "queried", *texts, F.inline(F.when(F.col("queried"), as_asked).otherwise(as_other)))  # cut is one row
+    as_asked = F.transform(every("_js"), lambda j: place(own("_is"), j, True))
+    as_other = F.transform(every("_is"), lambda i: place(i, own("_js"), False))
+    plain = sets.schema["member"].dataType.simpleString() in PLAIN
+    texts = [F.transform("members", lambda m: m.cast("string").cast("binary")).alias("texts")] if hashes and not plain else []
+    rows = same.crossJoin(F.broadcast(cut)).select("id", "items", "n", "members", *texts, F.inline(F.when(F.col("_asked"), F.concat(as_asked, as_other)).otherwise(as_other)))  # cut is one row
+    kind = sets.schema["item"].dataType.simpleString()
 
     def compare(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
         column = lambda c: data.column(c).chunk(0)
-        items, n, queried = column("item"), column("n").to_numpy(), column("queried").to_numpy(zero_copy_only=False)
+        ids, items, n, queried = column("id"), column("items"), column("n").to_numpy(), column("queried").to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(queried), np.flatnonzero(~queried)
-        right = right[pc.array_sort_indices(items.take(pa.array(right)), order="descending").to_numpy()]  # of equal ones the larger come first
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
+        right = right[pc.array_sort_indices(ids.take(pa.array(right)), order="descending").to_numpy()]  # of equal ones the larger come first
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        exact, near = [none], [none]
         if len(left) and len(right):
-            common = _common(*_tokens(column("members")), left, right)
-            same = pc.index_in(items.take(pa.array(right)), value_set=items.take(pa.array(left)))
-            itself = same.drop_null().to_numpy(zero_copy_only=False), np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
+            tokens = _tokens(column("members"))
             if hashes:
-                at = _buckets(column("texts"), hashes, bands)
-                x, y = at[:, left], at[:, right]
-            step = max(1, (1 << 18) // len(right))
-            for lo in range(0, len(left), step):
-                b = common[lo : lo + step].astype(np.float64)
-                jaccard = b / (n[left[lo : lo + step], None] + n[right] - b)
-                here = (itself[0] >= lo) & (itself[0] < lo + step)
-                jaccard[itself[0][here] - lo, itself[1][here]] = -1
-                kinds = [(jaccard, False)] if both or not hashes else []
-                if hashes:
-                    met = np.zeros(b.shape, bool)
-                    for band in range(len(at)):
-                        met |= x[band, lo : lo + step, None] == y[band]
-                    kinds.append((np.where(met, jaccard, -1), True))
-                for score, near in kinds:
-                    p, q = np.nonzero(_best(score, k))
-                    found.append((left[lo + p], right[q], score[p, q], np.full(len(p), near)))
-        p, q, jaccard, near = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"item": items.take(pa.array(p)), "other": items.take(pa.array(q)), "jaccard": pa.array(jaccard), "near": pa.array(near)})
+                lists = column("members" if plain else "texts")
+                at = _buckets(lists.cast(pa.list_(pa.string())).cast(pa.list_(pa.binary())) if plain else lists, hashes, bands)
+                y = at[:, right]
+            strip, step = max(1, STRIP // len(right)), max(1, (1 << 18) // len(right))
+            for start in range(0, len(left), strip):
+                common = _common(*tokens, left[start : start + strip], right)
+                for lo in range(0, len(common), step):
+                    b = common[lo : lo + step].astype(np.float64)
+                    these = left[start + lo : start + lo + len(b)]
+                    jaccard = b / (n[these, None] + n[right] - b)
+                    p, q = _best(jaccard, (4 if hashes else 1) * (k + 1))
+                    if hashes:
+                        r, c = _best_near(jaccard, p, q, at[:, these], y, k + 1)
+                        near.append((start + lo + r, right[c], jaccard[r, c]))
+                    if both or not hashes:
+                        p, q = _first(p, q, jaccard[p, q], k + 1)
+                        exact.append((start + lo + p, right[q], jaccard[p, q]))
+
+        def lists_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+            p, q, jaccard = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(p, kind="stable")
+            others = items.take(pa.array(q[order]))
+            times = pc.list_value_length(others).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(p[order], times, len(left)))]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(np.repeat(jaccard[order], times)), others.flatten()], ["jaccard", "other"])
+            return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+        return pa.table({"id": ids.take(pa.array(left)), "exact": lists_of(exact), "near": lists_of(near)})
 
-    kind = sets.schema["item"].dataType.simpleString()
     tasks = max(SPREAD, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows, long work: not to be merged
-    best = rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(compare, f"item {kind}, other {kind}, jaccard double, near boolean")
-    return top_k_per_group(best.repartition("item"), ["item", "near"], [F.desc("jaccard"), F.desc("other")], k).select("item", "near", "rank", "other", "jaccard")
+    pairs = f"array<struct<jaccard: double, other: {kind}>>"
+    found = rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(compare, f"id {kind}, exact {pairs}, near {pairs}")
+    merged = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), False), 1, k + 1).alias(c)
+    best = found.groupBy("id").agg(merged("exact"), merged("near"))
+    of_sets = same.select("id", "_set", "members").join(best, "id")
+    rest = lambda c: F.slice(F.filter(c, lambda x: x["other"] != F.col("item")), 1, k).alias(c)
+    return keyed.filter("_asked").join(of_sets, ["_set", "members"]).select("item", rest("exact"), rest("near"))
+
+
+def _ranked(found: DataFrame, best: str) -> DataFrame:
+    """(item, rank, other, jaccard) of an array of `_nearest`."""
+    return found.select("item", F.posexplode(best).alias("_at", "_o")).select("item", (F.col("_at") + 1).alias("rank"), "_o.other", "_o.jaccard")
 
 
-def top_exact(sets: DataFrame, queries: DataFrame | Column, k: int = 5) -> DataFrame:
+def top_exact(sets: DataFrame, queries: DataFrame | Column | None = None, k: int = 5) -> DataFrame:
     """(item, rank, other, jaccard): the `k` most similar to each queried item, ties by larger id.
 
-    `sets` has rows (item, member), any number of times; `queries` has items, or is a condition on them.
+    `sets` has rows (item, member), any number of times; `queries` has items, or is a condition on
+    them, and without it every item is queried.
     Items that share no member have similarity 0 and fill up what is missing.
     """
-    return _nearest(sets, queries, k).drop("near")
+    return _ranked(_nearest(sets, queries, k), "exact")
 
 
-def top_approximate(sets: DataFrame, queries: DataFrame | Column, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
+def top_approximate(sets: DataFrame, queries: DataFrame | Column | None = None, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
     """(item, rank, other, jaccard): as `top_exact`, but among LSH candidates only, ranked by exact similarity."""
-    return _nearest(sets, queries, k, hashes, bands).drop("near")
+    return _ranked(_nearest(sets, queries, k, hashes, bands), "near")
 
 
 def precision_at_k(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
@@ -288,13 +353,11 @@ def precision_at_k(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("item").agg(F.count("_hit").alias("hits"), F.round(F.count("_hit") / F.lit(k), 6).alias("precision"))
 
 
-def precision_of_searches(sets: DataFrame, queries: DataFrame | Column, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
+def precision_of_searches(sets: DataFrame, queries: DataFrame | Column | None = None, k: int = 5, hashes: int = 64, bands: int = 32) -> DataFrame:
     """`precision_at_k` of `top_exact` and `top_approximate`; each pair is counted once for both."""
-    found = _nearest(sets, queries, k, hashes, bands, both=True)
-    others = lambda here: F.collect_set(F.when(here, F.col("other")))
-    lists = found.groupBy("item").agg(others(~F.col("near")).alias("_exact"), others(F.col("near")).alias("_near")).filter(F.size("_exact") > 0)
-    hits = F.size(F.array_intersect("_exact", "_near")).cast("long")
-    return lists.select("item", hits.alias("hits"), F.round(hits / F.lit(k), 6).alias("precision"))
+    found = _nearest(sets, queries, k, hashes, bands, both=True).filter(F.size("exact") > 0)
+    hits = F.size(F.array_intersect(F.col("exact.other"), F.col("near.other"))).cast("long")
+    return found.select("item", hits.alias("hits"), F.round(hits / F.lit(k), 6).alias("precision"))
 
 
 def swapped(sets: DataFrame, out: DataFrame, into: DataFrame) -> DataFrame:

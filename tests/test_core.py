@@ -391,6 +391,46 @@ def test_precision_parses_events_once(spark, tmp_path):
     assert not [x for x in plan.splitlines() if "Filter" in x and "get_json_object" in x]
 
 
+def watched(spark, path):
+    """Events of users whose ids 50 divides, and of others; some have seen the same. Returns each user's items."""
+    r = random.Random(7)
+    seen = {u: set(r.sample(range(9), r.randint(1, 5))) for u in [*range(1, 10), 50, 75, 100]}
+    seen |= {u + 200: seen[1] for u in range(8)}  # more than 5 equal sets
+    rows = [(0, None, u, "view", 1.0, f'{{"k": {m}}}') for u, ms in seen.items() for m in ms]
+    frame(spark, rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return seen
+
+
+def near_pairs(spark, seen):
+    signed = similarity.signatures(frame(spark, [(u, m) for u, ms in seen.items() for m in ms], "item long, member int"), 64)
+    return {(x["a"], x["b"]) for x in similarity.candidates(signed, 64, 32).collect()}
+
+
+def test_precision_is_of_every_user(spark, tmp_path):
+    seen = watched(spark, tmp_path)
+    near = near_pairs(spark, seen)
+    best = {(a, b) for a, _, b, _ in brute(seen, seen, 5)}
+    found = {(a, b) for a, _, b, _ in brute(seen, seen, 5, lambda a, b: (min(a, b), max(a, b)) in near)}
+    hits = Counter(a for a, b in best if (a, b) in found)
+    got = queries.QUERIES["precision_at_k"](spark, str(tmp_path)).collect()
+    assert len(got) == len(seen) and {(x["item"], x["hits"], x["precision"]) for x in got} == {(u, hits[u], round(hits[u] / 5, 6)) for u in seen}
+
+
+def test_best_of_rows():
+    """The shortcuts of the search: few columns looked at first, near ones sought among the best first."""
+    r = np.random.default_rng(4)
+    for width, values in ((3, 4), (40, 3), (400, 1000), (400, 2)):
+        score = r.integers(-1, values, (20, width)) / 7
+        x, y = r.integers(0, 30, (2, 20)), r.integers(0, 30, (2, width))
+        met = (x[:, :, None] == y[:, None]).any(0)
+        top = lambda score, i, k: [(i, int(c)) for c in np.argsort(-score, kind="stable") if score[c] >= 0][:k]
+        for k in (1, 6):
+            p, q = similarity._best(score, k)
+            assert list(zip(p.tolist(), q.tolist(), strict=True)) == [x for i in range(20) for x in top(score[i], i, k)]
+            near = similarity._best_near(score, *similarity._best(score, 4 * k), x, y, k)
+            assert sorted(zip(*map(np.ndarray.tolist, near), strict=True)) == sorted(x for i in range(20) for x in top(np.where(met[i], score[i], -1), i, k))
+
+
 @pytest.mark.parametrize("members", ["long", "string", "double"])
 def test_buckets_of_arrays(spark, members):
     rows = frame(spark, [(i, str(i * 7 % 5 + j)) for i in range(30) for j in range(i % 4 + 1)], "item long, member string").withColumn("member", F.col("member").cast(members))
