@@ -641,7 +641,7 @@ _USERS = f"""{EVENTS}, m AS (SELECT DISTINCT user_id AS item, item AS member FRO
       row_number() OVER (PARTITION BY q.item ORDER BY coalesce(o.n, 0) / (zq.n + z.n - coalesce(o.n, 0)) DESC, z.item DESC) AS rank
     FROM q JOIN z ON z.item <> q.item JOIN z zq ON zq.item = q.item LEFT JOIN o ON o.item = q.item AND o.other = z.item) WHERE rank <= 5)"""
 _APPROX = (
-    _USERS
+    _USERS.replace(" WHERE item % 50 = 0", "")
     + ", "
     + _signature_ctes("m", 64, 32)
     + """, pairs AS (SELECT a AS item, b AS other FROM cand UNION SELECT b, a FROM cand),
@@ -663,11 +663,11 @@ def top_exact_users(spark, sf_dir):
 
 @query("SELECT item, rank, other, jaccard FROM near", _APPROX)
 def top_approximate_users(spark, sf_dir):
-    found = similarity.top_approximate(_watched(spark, sf_dir), F.col("item") % 50 == 0)
+    found = similarity.top_approximate(_watched(spark, sf_dir))
     return found.select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("SELECT top.item, count(near.other) AS hits, round(count(near.other) / 5, 6) AS precision FROM top LEFT JOIN near ON near.item = top.item AND near.other = top.other GROUP BY top.item", _APPROX.replace(" WHERE item % 50 = 0", ""))
+@query("SELECT top.item, count(near.other) AS hits, round(count(near.other) / 5, 6) AS precision FROM top LEFT JOIN near ON near.item = top.item AND near.other = top.other GROUP BY top.item", _APPROX)
 def precision_at_k(spark, sf_dir):
     return similarity.precision_of_searches(_watched(spark, sf_dir))
 

@@ -416,6 +416,14 @@ def test_precision_is_of_every_user(spark, tmp_path):
     assert len(got) == len(seen) and {(x["item"], x["hits"], x["precision"]) for x in got} == {(u, hits[u], round(hits[u] / 5, 6)) for u in seen}
 
 
+def test_approximate_search_is_of_every_user(spark, tmp_path):
+    seen = watched(spark, tmp_path)
+    near = near_pairs(spark, seen)
+    got = queries.QUERIES["top_approximate_users"](spark, str(tmp_path)).collect()
+    want = brute(seen, seen, 5, lambda a, b: (min(a, b), max(a, b)) in near)
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got} == {(a, rank, b, round(j, 9)) for a, rank, b, j in want}
+
+
 def test_best_of_rows():
     """The shortcuts of the search: few columns looked at first, near ones sought among the best first."""
     r = np.random.default_rng(4)
