@@ -635,13 +635,13 @@ def recommendations(spark, sf_dir):
 
 _USERS = f"""{EVENTS}, m AS (SELECT DISTINCT user_id AS item, item AS member FROM ev WHERE item IS NOT NULL AND user_id IS NOT NULL),
   z AS (SELECT item, count(*) AS n FROM m GROUP BY item),
-  q AS (SELECT item FROM z WHERE item % 50 = 0),
+  q AS (SELECT item FROM z),
   o AS (SELECT a.item, b.item AS other, count(*) AS n FROM m a JOIN m b ON a.member = b.member AND a.item <> b.item WHERE a.item IN (SELECT item FROM q) GROUP BY a.item, b.item),
   top AS (SELECT * FROM (SELECT q.item, z.item AS other, round(coalesce(o.n, 0) / (zq.n + z.n - coalesce(o.n, 0)), 9) AS jaccard,
       row_number() OVER (PARTITION BY q.item ORDER BY coalesce(o.n, 0) / (zq.n + z.n - coalesce(o.n, 0)) DESC, z.item DESC) AS rank
     FROM q JOIN z ON z.item <> q.item JOIN z zq ON zq.item = q.item LEFT JOIN o ON o.item = q.item AND o.other = z.item) WHERE rank <= 5)"""
 _APPROX = (
-    _USERS.replace(" WHERE item % 50 = 0", "")
+    _USERS
     + ", "
     + _signature_ctes("m", 64, 32)
     + """, pairs AS (SELECT a AS item, b AS other FROM cand UNION SELECT b, a FROM cand),
@@ -658,7 +658,7 @@ def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item, rank, other, jaccard FROM top", _USERS)
 def top_exact_users(spark, sf_dir):
-    return similarity.top_exact(_watched(spark, sf_dir), F.col("item") % 50 == 0).select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
+    return similarity.top_exact(_watched(spark, sf_dir)).select("item", "rank", "other", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("SELECT item, rank, other, jaccard FROM near", _APPROX)

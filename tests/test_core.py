@@ -424,6 +424,12 @@ def test_approximate_search_is_of_every_user(spark, tmp_path):
     assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got} == {(a, rank, b, round(j, 9)) for a, rank, b, j in want}
 
 
+def test_exact_search_is_of_every_user(spark, tmp_path):
+    seen = watched(spark, tmp_path)
+    got = queries.QUERIES["top_exact_users"](spark, str(tmp_path)).collect()
+    assert {(x["item"], x["rank"], x["other"], x["jaccard"]) for x in got} == {(a, rank, b, round(j, 9)) for a, rank, b, j in brute(seen, seen, 5)}
+
+
 def test_best_of_rows():
     """The shortcuts of the search: few columns looked at first, near ones sought among the best first."""
     r = np.random.default_rng(4)
